@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import language_id, mixing, packing, quality_rules, token_counts
 
-MODULES = (quality_rules,)
+MODULES = (language_id, mixing, packing, token_counts, quality_rules)
 
 
 def queries() -> dict:

@@ -28,6 +28,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Documents in a block of the first level, and blocks whose leftovers meet in one of the next.
 BLOCK, JOIN = 2000, 512
+#: Documents that the landing decides, with at most two more; and what a document too many costs there, in mean sizes.
+LANDING, COUNT_COST = 11, 0.02
 #: Below this distance from 0 or 1 a probability counts as landed.
 NEAR = 1e-9
 
@@ -53,8 +55,8 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS) -> list[float]
 def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
     """Moves pi until at most two entries are open (none if land), keeping sum(pi) and sum(pi * size). Expected values stay pi.
 
-    Three open documents have a direction that changes neither sum; a step along it closes one of them. Landing gives up the tokens, then
-    the count."""
+    Three open documents have a direction that changes neither sum; a step along it closes one of them. Landing takes the last LANDING
+    documents and those left open, and of all their outcomes the one that comes nearest to both sums."""
     pi, held = [float(x) for x in pi], []
     size = [float(x) for x in size]
     dice = iter(rng.random(2 * len(pi) + 8))
@@ -68,24 +70,28 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: boo
             pi[k] = 0.0 if x < NEAR else 1.0 if x > 1 - NEAR else x
         return [k for k in ks if 0 < pi[k] < 1]
 
-    for k in range(len(pi)):
-        if 0 < pi[k] < 1:
-            held.append(k)
-            while len(held) == 3:
-                a, b, c = (size[i] for i in held)
-                u = (c - b, a - c, b - a)
-                held = step(held, u if any(u) else (1.0, -1.0, 0.0))
-    while land and len(held) > 1:
-        held = step(held, (1.0, -1.0))
-    if land and held:
-        held = step(held, (1.0,))
+    inner = [k for k in range(len(pi)) if 0 < pi[k] < 1]
+    landing = inner[-LANDING:] if land else []
+    for k in inner[: len(inner) - len(landing)]:
+        held.append(k)
+        while len(held) == 3:
+            a, b, c = (size[i] for i in held)
+            u = (c - b, a - c, b - a)
+            held = step(held, u if any(u) else (1.0, -1.0, 0.0))
+    if landing := held + landing if land else []:
+        due, sizes = np.array([pi[k] for k in landing]), np.array([size[k] for k in landing])
+        ways = (np.arange(1 << len(landing))[:, None] >> np.arange(len(landing))) & 1
+        cost = np.abs((ways - due) @ sizes) + COUNT_COST * sizes.mean() * np.abs((ways - due).sum(1))
+        near = np.flatnonzero(cost <= cost.min() + NEAR)
+        for k, x in zip(landing, ways[near[int(next(dice) * len(near))]], strict=True):
+            pi[k] = float(x)
     return np.array(pi)
 
 
 def block_of(level: int, last: bool) -> Callable:
     def fly(key, pdf):
-        """One block's flight, in an order and with random numbers that follow from its rows. Large documents come first: small ones stay open."""
-        pdf = pdf.iloc[np.lexsort((pdf["doc_id"].isna(), pdf["doc_id"].fillna(0), pdf["h"], -pdf["size"]))]
+        """One block's flight, in an order and with random numbers that follow from its rows."""
+        pdf = pdf.iloc[np.lexsort((pdf["size"], pdf["doc_id"].isna(), pdf["doc_id"].fillna(0), pdf["h"]))]
         rng = np.random.default_rng(zlib.crc32(repr((int(key[0]), int(key[1]), level)).encode()))
         return pdf.assign(pi=flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(), rng, last), block=pdf["block"] // JOIN)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,18 +27,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; sets one of our own only where the session names none."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named or "/tmp/checkpoints/tessera")
-    return named or "/tmp/checkpoints/tessera"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read again: the lineage ends there, and a lost executor costs nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The checkpoint folder that all executors share; one of our own only where the session names none, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/tessera"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder, read again: the lineage ends there, and a lost executor costs nothing.
+
+    The table goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, table
+from .common import n_words, stored, table
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -102,7 +102,7 @@ def sampled(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFra
     """doc_id, source, h (hash of the text), size, source_size, target, copies: a row per row of documents.
 
     One pass over the texts; its narrow result is kept in the shared folder. The driver gets a row per source."""
-    sized = cut(documents.select("doc_id", "source", F.xxhash64("text").alias("h"), n_words(F.col("text")).alias("size")))
+    sized = stored(documents.select("doc_id", "source", F.xxhash64("text").alias("h"), n_words(F.col("text")).alias("size")))
     per = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     per.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     due = targets([r["size"] for r in per], weights)
@@ -129,7 +129,7 @@ def sampled(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFra
         if last:
             done.append(moved)
         else:
-            moved = cut(moved)
+            moved = stored(moved)
             done.append(moved.where(closed))
             rest = moved.where(~closed)
     out = done[0]

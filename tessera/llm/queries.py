@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, packing, quality_rules, token_counts
+from . import jaccard_join, language_id, mixing, neighbours, packing, quality_rules, secrets, substring_dedup, token_counts, toxicity
 
-MODULES = (language_id, mixing, packing, token_counts, quality_rules)
+MODULES = (neighbours, language_id, substring_dedup, mixing, packing, token_counts, quality_rules, toxicity, jaccard_join, secrets)
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 A line is a chain of words with two states, clean and toxic. Word scores sum weights of hashed features (the word, its prefixes and
 suffixes); transitions have weights of their own. Forward-backward gives each word's marginal probability of being toxic. A document's
-score is a logistic function of the expected number of toxic words, and spans are runs of words above one half.
+score is a logistic function of the sum of squared marginals, a count of toxic words to which doubtful ones add little, and spans are runs of words above one half.
 
 The labels are of documents, so tokens are labelled first: a word in a toxic document is a toxic token if documents with one of its
 features are toxic far more often than others, over the labelled documents outside the held-out fold. The field is then trained in numpy
@@ -30,8 +30,10 @@ from .common import held_out, table
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
 #: Weights, training lines, passes; lengths of prefixes and suffixes.
 WEIGHTS, LINES, EPOCHS, AFFIXES = 1 << 18, 6000, 8, (3, 4, 5, 6)
-#: A feature marks toxic tokens if it is in so many toxic documents and they are such a share of those that have it.
-LEAST, SHARE = 6, 0.9
+#: A feature marks toxic tokens if toxic documents are such a share of those that have it, both labels weighing the same, and if this is
+#: beyond chance: so many nats of evidence.
+SHARE, EVIDENCE = 0.9, 14.0
+SKETCH = 48
 MEMO = 400_000
 WORDS = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
@@ -63,7 +65,7 @@ def forward_backward(e: np.ndarray, n: np.ndarray, trans: np.ndarray, start: np.
         m[:, i] = np.where(i < n, np.exp(np.minimum(f[i][:, 1] + back[:, 1] - z, 0)), 0)
         if i:
             on = s[:, i] + back
-            p = np.exp(f[i - 1][:, :, None] + trans + on[:, None, :] - z[:, None, None])
+            p = np.exp(np.minimum(f[i - 1][:, :, None] + trans + on[:, None, :] - z[:, None, None], 0))
             pairs += p[i < n].sum(0)
             back = np.where((i < n)[:, None], np.logaddexp(trans[:, 0] + on[:, :1], trans[:, 1] + on[:, 1:]), back)
     return m, pairs, z
@@ -154,7 +156,7 @@ class Field:
 
     def expected(self, text: str) -> float:
         lines = chains(text)
-        return float(sum(m.sum() for m in self.tag(lines, {x: self.word(x) for ws in lines for x in ws})))
+        return float(sum((m * m).sum() for m in self.tag(lines, {x: self.word(x) for ws in lines for x in ws})))
 
     def spans(self, text: str) -> list[tuple[int, int, float]]:
         """Offending runs of words as (start, end, highest marginal), in characters of the lower-cased text."""
@@ -183,8 +185,29 @@ def learn(documents: DataFrame, labels: DataFrame) -> Field | None:
     part = F.when(F.col("toxic") == 1, F.lit(min(1.0, SAMPLE / counts[1]))).otherwise(F.lit(min(1.0, SAMPLE / counts[0])))
     drawn = marks.where(F.pmod(F.xxhash64("_id", F.lit("toxic")), F.lit(1 << 20)) < part * (1 << 20))
     kept = documents.where(F.col("text").isNotNull()).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))  # bounded: about 2 * SAMPLE ids
-    rows = sorted(kept.select("toxic", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect(), key=lambda r: (r["toxic"], r["text"]))
-    texts, y = [chains(r["text"]) for r in rows], [r["toxic"] for r in rows]
+    return fit([(r["text"], r["toxic"]) for r in kept.select("toxic", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()])
+
+
+def distinct(texts: list[str]) -> list[int]:
+    """Places of the texts without later near copies, which would count as evidence of their own: texts that share a third of their
+    SKETCH smallest 4-word hashes with one kept before."""
+    kept, seen = [], {}
+    for i, t in enumerate(texts):
+        words = WORDS.findall(t.lower())
+        sketch = sorted({zlib.crc32(" ".join(words[k : k + 4]).encode()) for k in range(max(1, len(words) - 3))})[:SKETCH]
+        same = Counter(j for h in sketch for j in seen.get(h, ()))
+        if not same or max(same.values()) * 3 < len(sketch):
+            kept.append(i)
+            for h in sketch:
+                seen.setdefault(h, []).append(i)
+    return kept
+
+
+def fit(rows: list[tuple[str, int]]) -> Field | None:
+    """A field from (text, label) rows in any order."""
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    rows = [rows[i] for i in distinct([t for t, _ in rows])]
+    texts, y = [chains(t) for t, _ in rows], [label for _, label in rows]
     if len(set(y)) < 2:
         return None
     seen = {0: Counter(), 1: Counter()}
@@ -192,8 +215,13 @@ def learn(documents: DataFrame, labels: DataFrame) -> Field | None:
     for lines, label in zip(texts, y, strict=True):
         words = {x for ws in lines for x in ws}
         seen[label].update({f for x in words for f in memo.setdefault(x, features(x))})
-    weight = sum(y) / max(1, len(y) - sum(y))
-    marked = {f for f, k in seen[1].items() if k >= LEAST and k > SHARE * (k + weight * seen[0][f])}
+    part = sum(y) / len(y)
+
+    def evidence(f: str) -> float:
+        k, m = seen[1][f], seen[0][f]
+        return k * np.log(k / ((k + m) * part)) + (m * np.log(m / ((k + m) * (1 - part))) if m else 0.0)
+
+    marked = {f for f, k in seen[1].items() if k * (1 - part) > SHARE * (k * (1 - part) + seen[0][f] * part) and evidence(f) > EVIDENCE}
     toxic_word = {x: any(f in marked for f in fs) for x, fs in memo.items()}
     data = [(ws, [label == 1 and toxic_word[x] for x in ws]) for lines, label in zip(texts, y, strict=True) for ws in lines]
     rng = np.random.default_rng(9)
@@ -204,7 +232,7 @@ def learn(documents: DataFrame, labels: DataFrame) -> Field | None:
     used = half[0] + half[1]
     field = Field()
     field.train([d[0] for d in used], [d[1] for d in used])
-    x = np.log1p(8 * np.array([field.expected(r["text"]) for r in rows]))
+    x = np.log1p(8 * np.array([field.expected(t) for t, _ in rows]))
     z, c = np.array(y, float), np.array([-2.0, 2.0])
     for _ in range(60):  # Newton steps of a logistic fit, held back by a small prior
         p = 1 / (1 + np.exp(-np.clip(c[0] + c[1] * x, -30, 30)))
@@ -240,7 +268,7 @@ def score(documents: DataFrame, field: Field | None, spans: bool = False) -> Dat
                         if x not in memo:
                             memo[x] = field.word(x)
                 for i, m in zip(owner, field.tag(lines, memo), strict=True):
-                    expected[i] += m.sum()
+                    expected[i] += (m * m).sum()
             scores = field.score(expected) if field else expected
             cols = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32))]
             if spans:

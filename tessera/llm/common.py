@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -35,12 +36,16 @@ def stored(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared checkpoint folder, read again: the lineage ends there, and a lost executor costs nothing.
 
     The table goes when the application ends."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    # Spark deletes shuffle files when the driver's garbage collection finds them unused. Those of this write are: let it see them now.
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -1,9 +1,10 @@
 """Substring dedup: Rabin-Karp hashes of every window of WINDOW words, counted in Spark; repeated windows merge into removal intervals.
 
 A word goes if a window over it also starts in a document with a smaller id. Most windows repeat nowhere, so they are not shuffled one by
-one. Each document first sends its minimisers: of the GRAM-word hashes inside a window the smallest, which equal windows share; runs of
-windows have the same, so about a fifth as many are sent. Where a minimiser occurs in one document only, no window around it repeats. The
-windows around the others are hashed with 128 bits and reduced to the smallest document of each; a window found in a later one is a hit.
+one. Of the GRAM-word hashes inside a window the smallest is its minimiser, which equal windows share; neighbouring windows mostly have the
+same one and form a run, so about a fifth as many minimisers are sent. Where a minimiser occurs in one document only, no window around it
+repeats. For the others whole runs are compared by hash, then, where runs with one minimiser differ (at the ends of passages), their single
+windows, with 128 bits in either case. The smallest document of each run and window is kept; what is found in a later one is a hit.
 Windows are judged on the input, never on what is left.
 
 Counts are combined before the shuffles, and the joins that lead back from hashes to documents are plain equi-joins of two stored or
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, stored, table, windows
+from .common import Rolling, stored, table, windows, word_bounds
 
 WINDOW, GRAM = 13, 5
 #: Two independent hashes of the same spans.
@@ -81,34 +82,69 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, SLICE)
 
 
+def runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive windows with one minimiser: the minimiser, the hash of all words under the run, its first and last window."""
+    low = minimisers(words)
+    if not len(low):
+        return low, low, low.astype(np.int64), low.astype(np.int64)
+    first = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
+    last = np.concatenate((first[1:], [len(low)])) - 1
+    data, start, end = word_bounds(words)
+    return low[first], SECOND.spans(data, start[first], end[last + WINDOW - 1]), first, last
+
+
 def repeated_windows(documents: DataFrame) -> DataFrame:
-    """doc_id and hits: per document the hashes (FIRST) of its windows that also start in a document with a smaller id."""
+    """doc_id and hits: per document the hashes of its runs, and of its single windows, that are also in a document with a smaller id."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
 
-    def send(batches):
+    def send_minimisers(batches):
         for b in sliced(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists_of([np.unique(minimisers(_words(t.as_py()))).view(np.int64) for t in b.column(1)])], names=["doc_id", "ms"])
-
-    sent = docs.mapInArrow(send, "doc_id long, ms array<long>").select("doc_id", F.explode("ms").alias("m"))
-    shared = stored(sent.groupBy("m").count().where("count > 1").select("m"))
-    asked = sent.join(shared, "m").groupBy("doc_id").agg(F.collect_set("m").alias("ms"))
+            yield pa.RecordBatch.from_arrays([_lists_of([np.unique(minimisers(_words(t.as_py()))).view(np.int64) for t in b.column(0)])], names=["ms"])
 
-    def hash_windows(batches):
+    def send_runs(batches):
+        for b in sliced(batches):
+            ids, ms, rs = [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                m, r, *_ = runs(_words(t.as_py()))
+                _, at = np.unique(r, return_index=True)
+                ids.append(np.full(len(at), i))
+                ms.append(m[at].view(np.int64))
+                rs.append(r[at].view(np.int64))
+            yield _flat({"doc_id": ids, "m": ms, "r": rs})
+
+    shared = stored(docs.select("text").mapInArrow(send_minimisers, "ms array<long>").select(F.explode("ms").alias("m")).groupBy("m").count().where("count > 1").select("m"))
+    found = stored(docs.mapInArrow(send_runs, "doc_id long, m long, r long").join(shared, "m"))
+    first = stored(found.groupBy("m", "r").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
+    whole = found.join(first.where("least < most").drop("most"), ["m", "r"]).where("doc_id > least").select("doc_id", F.col("r").alias("hit"))
+
+    # Runs end where passages do, so the same window may lie in different runs. Later copies of a run are hits already; its first document
+    # alone is still open, and only where another run has the same minimiser.
+    several = first.groupBy("m").count().where("count > 1").select("m")
+    asked = first.join(several, "m").groupBy(F.col("least").alias("doc_id")).agg(F.collect_set("r").alias("rs"))
+
+    def send_windows(batches):
         for b in sliced(batches):
             ids, one, two = [], [], []
-            for i, t, ms in zip(b.column(0).to_pylist(), b.column(1), _lists(b.column(2)), strict=True):
+            for i, t, rs in zip(b.column(0).to_pylist(), b.column(1), _lists(b.column(2)), strict=True):
                 words = _words(t.as_py())
-                at = np.flatnonzero(np.isin(minimisers(words).view(np.int64), ms))
+                _, r, start, end = runs(words)
+                on = np.isin(r.view(np.int64), rs)
+                at = np.flatnonzero(np.repeat(on, end - start + 1))
                 if len(at):
-                    a, first = np.unique(windows(words, WINDOW, FIRST)[at].view(np.int64), return_index=True)
+                    a, place = np.unique(windows(words, WINDOW, FIRST)[at].view(np.int64), return_index=True)
                     ids.append(np.full(len(a), i))
                     one.append(a)
-                    two.append(windows(words, WINDOW, SECOND)[at].view(np.int64)[first])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (one, two, ids)], names=["h1", "h2", "doc_id"])
+                    two.append(windows(words, WINDOW, SECOND)[at].view(np.int64)[place])
+            yield _flat({"h1": one, "h2": two, "doc_id": ids})
+
+    open_ = stored(docs.join(asked, "doc_id").select("doc_id", "text", "rs").mapInArrow(send_windows, "h1 long, h2 long, doc_id long"))
+    early = stored(open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least"))
+    single = open_.join(early, ["h1", "h2"]).where("doc_id > least").select("doc_id", F.col("h1").alias("hit"))
+    return stored(whole.unionByName(single)).groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
+
 
-    found = stored(docs.join(asked, "doc_id").select("doc_id", "text", "ms").mapInArrow(hash_windows, "h1 long, h2 long, doc_id long"))
-    early = stored(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least"))
-    return found.join(early, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("h1").alias("hits"))
+def _flat(columns: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in columns.values()], names=list(columns))
 
 
 def dedup(documents: DataFrame, text: bool = False) -> DataFrame:
@@ -123,7 +159,9 @@ def dedup(documents: DataFrame, text: bool = False) -> DataFrame:
                 words = _words(t.as_py())
                 mask = np.zeros(len(words), bool)
                 if len(hit):
-                    mask = covered(np.isin(windows(words, WINDOW, FIRST).view(np.int64), hit), len(words))
+                    _, r, start, end = runs(words)
+                    of_runs = np.repeat(np.isin(r.view(np.int64), hit), end - start + 1)
+                    mask = covered(of_runs | np.isin(windows(words, WINDOW, FIRST).view(np.int64), hit), len(words))
                 kept = b" ".join([w for w, gone in zip(words, mask.tolist(), strict=True) if not gone] if mask.any() else words)
                 row = (len(words), int(mask.sum()), hashlib.sha256(kept).hexdigest())
                 out.append((*row, [{"first": a, "end": z} for a, z in intervals(mask)], kept.decode()) if text else row)

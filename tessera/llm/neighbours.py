@@ -26,10 +26,10 @@ from .common import table
 
 K = 20
 #: Random directions per coordinate (as whole rotations), window half-widths as shares of the distance of the K-th neighbour.
-ROTATIONS, WIDTHS = 1, (0.45, 0.9, 1.35)
+ROTATIONS, WIDTHS = 1, (1.1,)
 SAMPLE, MISS = 96, 0.02
 #: Vectors in a shard, queries in a block.
-SHARD, BLOCK = 32_768, 8_192
+SHARD, BLOCK = 16_384, 4_096
 
 
 def directions(dim: int) -> np.ndarray:

@@ -58,7 +58,7 @@ def exclusive_scan(df: DataFrame, value: str, order_by: str, name: str = "offset
     row per range meets the others, so no task holds the whole table."""
     kind = "decimal(38,0)"
     v = F.col(value).cast(kind)
-    most = F.lit(2**bits - 1).cast(kind)
+    most = F.lit(str(2**bits - 1)).cast(kind)
     guard = lambda before: F.when(before + v > most, F.raise_error(F.lit("ERR_INTEGER_OVERFLOW"))).otherwise(before)
     if partition_by:
         w = Window.partitionBy(*partition_by).orderBy(order_by).rowsBetween(Window.unboundedPreceding, -1)

@@ -80,7 +80,9 @@ def keep(documents: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns. The text itself is not edited."""
     own = [F.col(f"`{c}`") for c in documents.columns]
     judged = measure(documents.select(F.struct(*own).alias("doc_id"), F.col("text")))
-    return judged.where("kept").select(*[F.col("doc_id").getField(c).alias(c) for c in documents.columns])
+    # A filter would be pushed below all projections, each expression copied into the next; a generator keeps each computed once.
+    kept = judged.select(F.explode(F.when(F.col("kept"), F.array("doc_id"))).alias("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
 
 
 def op7_quality_rules(spark, sf_dir):

@@ -29,10 +29,10 @@ from .common import held_out, table
 #: Labelled documents learned from, for each label, and characters of each.
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
 #: Weights, training lines, passes; lengths of prefixes and suffixes.
-WEIGHTS, LINES, EPOCHS, AFFIXES = 1 << 18, 6000, 8, (3, 4, 5, 6)
+WEIGHTS, LINES, EPOCHS, AFFIXES = 1 << 18, 6000, 8, (5, 6, 7)
 #: A feature marks toxic tokens if toxic documents are such a share of those that have it, both labels weighing the same, and if this is
 #: beyond chance: so many nats of evidence.
-SHARE, EVIDENCE = 0.9, 14.0
+SHARE, EVIDENCE = 0.9, 15.0
 SKETCH = 48
 MEMO = 400_000
 WORDS = re.compile(r"[^\W\d_]+")
@@ -189,14 +189,14 @@ def learn(documents: DataFrame, labels: DataFrame) -> Field | None:
 
 
 def distinct(texts: list[str]) -> list[int]:
-    """Places of the texts without later near copies, which would count as evidence of their own: texts that share a third of their
+    """Places of the texts without later near copies, which would count as evidence of their own: texts that share a sixth of their
     SKETCH smallest 4-word hashes with one kept before."""
     kept, seen = [], {}
     for i, t in enumerate(texts):
         words = WORDS.findall(t.lower())
         sketch = sorted({zlib.crc32(" ".join(words[k : k + 4]).encode()) for k in range(max(1, len(words) - 3))})[:SKETCH]
         same = Counter(j for h in sketch for j in seen.get(h, ()))
-        if not same or max(same.values()) * 3 < len(sketch):
+        if not same or max(same.values()) * 6 < len(sketch):
             kept.append(i)
             for h in sketch:
                 seen.setdefault(h, []).append(i)

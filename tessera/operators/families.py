@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import CodecError
 from ..functions import expr
 from ..functions.arrow import with_kernel
-from ..kernels import scan, text
+from ..kernels import scan, tables, text
 from ..kernels.cbor import Limits
 from ..kernels.tables import Dictionary
 
@@ -189,6 +189,17 @@ def dictionary_frame(spark: SparkSession, dictionary: Dictionary) -> DataFrame:
     return spark.createDataFrame(rows, "dict_table string, value_key binary, value string, id long")
 
 
+def dictionary_conflicts(entries: DataFrame) -> DataFrame:
+    """(dict_table, id, n_values) of ids that stand for more than one value."""
+    return entries.groupBy("dict_table", "id").agg(F.countDistinct("value").alias("n_values")).where("n_values > 1")
+
+
+def builtin_tables(spark: SparkSession) -> DataFrame:
+    """The fixed ids of the wire format: keywords, legacy contexts, cryptosuites, URL schemes."""
+    made = {"keyword": tables.KEYWORDS, "context": tables.LEGACY_CONTEXTS, "cryptosuite": tables.CRYPTOSUITES, "scheme": tables.SCHEMES}
+    return spark.createDataFrame([(t, v, i) for t, ids in made.items() for v, i in ids.items()], "dict_table string, value string, id long")
+
+
 def dictionary_probe(probes: DataFrame, table: Column, value_key: Column, dictionary: DataFrame, name: str = "id") -> DataFrame:
     """A null-preserving lookup: every probe stays, a miss has a null id. The dictionary's (table, value_key) is unique. No hint: Spark broadcasts a side
     that is small enough by its own statistics, and shuffles else."""

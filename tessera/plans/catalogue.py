@@ -467,3 +467,62 @@ def cross_decode_matrix(spark, sf_dir):
     both = codec.decode_typed(native.unionByName(arrow), "c", "text string")
     results = both.select(F.col("lang").alias("fixture"), "encoder", F.hex("c").alias("hex"), (F.col("row.text") == F.col("text")).alias("passed"))
     return integrity.cross_decode_matrix(results.withColumn("hex", F.sha2("hex", 256)))
+
+
+# --- tables, policies, lanes
+
+
+@query("SELECT CASE WHEN c_nationkey % 5 = 0 THEN 7 ELSE c_nationkey END::BIGINT AS id, count(DISTINCT c_nationkey)::BIGINT AS n_values FROM customer GROUP BY 1 HAVING count(DISTINCT c_nationkey) > 1")
+def dictionary_conflicts(spark, sf_dir):
+    """Ids that a dictionary frame gives to more than one value: what a dictionary must not have."""
+    c = table(spark, sf_dir, "customer").select(F.lit("ex:n").alias("dict_table"), F.col("c_nationkey").alias("value"), F.when(F.col("c_nationkey") % 5 == 0, F.lit(7)).otherwise(F.col("c_nationkey")).cast("long").alias("id"))
+    return families.dictionary_conflicts(c).select("id", "n_values")
+
+
+@query()
+def builtin_tables(spark, sf_dir):
+    return families.builtin_tables(spark)
+
+
+@query(f"{ENVELOPES} SELECT CASE WHEN doc_id % 3 = 0 THEN 'non-preferred-integer' ELSE 'none' END AS violation, count(*)::BIGINT AS n, max(CASE WHEN doc_id % 3 = 0 THEN 4 END)::BIGINT AS byte_offset FROM e GROUP BY 1")
+def policy_breaches(spark, sf_dir):
+    """Every third envelope has its registry id in a wider form than needed; the strict policy says so and where."""
+    from ..kernels.cbor import Policy
+
+    e = envelopes(spark, sf_dir)
+    wide = F.concat(expr.raw(bytes.fromhex("d9cb1d821800")), F.expr("substring(c, 6)"))
+    e = e.select(F.when(F.col("doc_id") % 3 == 0, wide).otherwise(F.col("c")).alias("c"))
+    d = codec.decode_json(e, "c", Config(policy=Policy(reject_integer_widths=True, reject_length_widths=True)))
+    return d.groupBy(F.coalesce("decoded.failure.violation", F.lit("none")).alias("violation")).agg(F.count("*").alias("n"), F.max("decoded.failure.byte_offset").alias("byte_offset"))
+
+
+@query("SELECT event_type, min(value) AS min_ns, quantile_cont(value, 0.5) AS median_ns, quantile_cont(value, 0.95) AS p95_ns FROM events GROUP BY 1")
+def lane_timings(spark, sf_dir):
+    return integrity.lane_timing(table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+@query("SELECT a.n_name AS lane, CASE WHEN (a.n_nationkey + 1) / 13 > 1.05 THEN 'win' WHEN (a.n_nationkey + 1) / 13 < 0.95 THEN 'loss' ELSE 'wash' END AS verdict FROM nation a")
+def lane_comparison(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.col("n_name").alias("lane"), integrity.compared((F.col("n_nationkey") + 1) / 13).alias("verdict"))
+
+
+@query("SELECT customer.c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN NULL ELSE 'ERR_NOT_CBORLD' END AS code, CASE WHEN c_nationkey % 2 = 0 THEN c_custkey END AS back FROM customer")
+def legacy_formats(spark, sf_dir):
+    """Legacy-range envelopes of customers, decoded where the format is enabled; odd nations are cut short."""
+    from ..kernels.envelope import RANGE
+
+    config = Config(format=RANGE)
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.to_json(F.struct("c_custkey", "c_name")).alias("j"))
+    e = codec.encode_json(c, "j", config, "e").withColumn("b", F.col("e.value"))
+    e = e.withColumn("b", F.when(F.col("c_nationkey") % 2 == 0, F.col("b")).otherwise(F.substring("b", F.lit(1), F.octet_length("b") - 1)))
+    d = codec.decode_json(e.select("c_custkey", "b"), "b", config)
+    return d.select("c_custkey", F.col("decoded.failure.code").alias("code"), F.from_json("decoded.value", "c_custkey long")["c_custkey"].alias("back"))
+
+
+@query("SELECT doc_id, false AS truncated, 14::BIGINT AS n_nodes FROM documents")
+def lossless_and_decoded(spark, sf_dir):
+    """Source maps and values of the same documents under one policy."""
+    e = envelopes(spark, sf_dir).select("doc_id", "c")
+    v = codec.validate_lossless(codec.decode_validated(e, "c", Config()), "c")
+    return v.select("doc_id", "validated.value.truncated", F.col("decoded.value.nodes").alias("n_nodes"))

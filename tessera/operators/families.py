@@ -217,7 +217,7 @@ def packed_spans(df: DataFrame, data: str, order_by: str, group_by: list[str]) -
 def catalogue(spark: SparkSession) -> DataFrame:
     """The families with their priority and whether this library can run them without anything plugged in."""
     rows = [(f, p, f != "cddl-validation") for p, fs in FAMILIES.items() for f in fs]
-    return spark.createDataFrame([(f"cborld.{f}.v1", p, ok) for f, p, ok in rows], "family string, priority string, available boolean")
+    return spark.createDataFrame([(f"{f}.v1", p, ok) for f, p, ok in rows], "family string, priority string, available boolean")
 
 
 #: The family names by priority.

@@ -156,6 +156,8 @@ def chunked_stream_decode(spark, sf_dir):
     decoded = streams.decode_stream(encoded.select("encoded"), "encoded").select(F.from_json("decoded.value", "event_id long, user_id long, event_type string").alias("r")).select("r.*")
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
     out = f"{base.rstrip('/')}/tessera-stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     q = decoded.writeStream.format("parquet").option("path", out + "/rows").option("checkpointLocation", out + "/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out + "/rows")

@@ -29,8 +29,14 @@ class Config:
     policy: Policy = Policy()
     formats: tuple[str, ...] = (V1, RANGE, SINGLETON)
     compressed: bool = True  # of the legacy singleton, which has no registry id
+    prepared: dict = field(default_factory=dict, repr=False, compare=False)  # tables made so far, once in each worker
 
     def table(self, registry_id: int) -> TypeTable:
+        if registry_id not in self.prepared:
+            self.prepared[registry_id] = self.prepare(registry_id)
+        return self.prepared[registry_id]
+
+    def prepare(self, registry_id: int) -> TypeTable:
         if registry_id in self.tables:
             made = self.tables[registry_id]
             if any(t in made for t in ("http://www.w3.org/2001/XMLSchema#" + x for x in ("integer", "double", "boolean"))):

@@ -49,6 +49,8 @@ class Scope:
 
     def reverted(self) -> dict[str, Term]:
         """Terms that do not propagate give way to what they stood for further out."""
+        if all(t.propagates for t in self.terms.values()):
+            return self.terms
         out = {}
         for name, term in self.terms.items():
             scope = self
@@ -110,6 +112,8 @@ class Session:
 
     def extend(self, terms: dict[str, Term], contexts, by_property: bool = False, by_type: bool = False) -> dict[str, Term]:
         for context in contexts if isinstance(contexts, list) else [contexts]:
+            if context == {}:  # nothing new, nothing taken away
+                continue
             raw, new = self.load(context)
             propagates = raw["@propagate"] if isinstance(raw.get("@propagate"), bool) else not by_type
             made = {n: self.resolved(n, replace(t, propagates=propagates), terms, raw) for n, t in new.items()}

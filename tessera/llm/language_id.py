@@ -11,7 +11,6 @@ Null ids and repeated rows pass through, one output row per input row. Other col
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +26,6 @@ SAMPLE, SAMPLE_CHARS = 400, 4000
 #: Segments learned from, units in each direction, embedding size, bytes in a segment.
 SEGMENTS, HIDDEN, EMBED, BYTES = 24_000, 24, 16, 24
 MEMO = 400_000
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII punctuation and digits carry no language; they part segments like white space.
 PARTS = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
@@ -198,7 +196,7 @@ def identify(documents: DataFrame, net: Network | None) -> DataFrame:
                 chunk, size = [], 0
                 while at < len(texts) and size < 1 << 21:
                     t = texts[at]
-                    if t and LETTER.search(t):
+                    if t and any(map(str.isalpha, t)):
                         chunk.append((at, segments(t)))
                         size += len(t)
                     at += 1

@@ -1,8 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Every word with a run of key-like characters is a candidate. Its features are length, character classes and the transitions between them,
-coverage by a small dictionary, marks of paths and addresses, and what the neighbouring words say. The forest is trained in numpy on
-the driver from labelled findings and becomes a SQL expression, so the scan itself is one projection: no Python on the executors, no
+Every run of key-like characters is a candidate, wherever it stands in its word and whatever it is made of: a text without white space, such
+as minified JSON, has as many as it has runs. Features are length, character classes and the transitions between them, coverage by a small
+dictionary, marks of paths and addresses, and what stands around the run: in its word, from the run before it to the run after it; for
+the first run of a word, the two words before as well. Only the forest decides, so ordinary long words pass through it too. The forest is trained in numpy on
+the driver from labelled findings (the last run of each word) and becomes a SQL expression, so the scan itself is one projection: no Python on the executors, no
 shuffle, one row per row of documents.
 
 Labelled findings come with the operator as a fixed generated set of LABELLED rows; a table of a user's own (word, before, before2, after,
@@ -28,25 +30,56 @@ THRESHOLD = 0.5
 TREES, DEPTH, LEAF = 24, 7, 3
 LABELLED, LABELLED_MOST = 4000, 50_000
 
-#: What a candidate looks like, and the words that speak for or against a secret.
+#: What a run looks like, and the words that speak for or against a secret.
 RUN = r"[A-Za-z0-9+/_.~-]{8,}={0,2}"
-CANDIDATE = r"^(?=.*[0-9])(?:.*[^A-Za-z0-9+/_.~-])?[A-Za-z0-9+/_.~-]{8,}={0,2}[^A-Za-z0-9]*$"
 KNOWN = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|sk-|rk_live_|xox[abp]-|AIza|eyJ|SG\.)"
 ABOUT = r"(?i)(passw|pwd|secret|token|api.?key|access.?key|private|credential|auth|bearer|apikey)"
 BENIGN = r"(?i)(commit|sha|checksum|md5|uuid|guid|order|invoice|phone|call|tel|version|isbn|ref|build|digest|hash|page|card|ip|from|host|mail|visit|see|file|path|date|on)$"
+BENIGN_LEAD = BENIGN.removesuffix("$") + "[^A-Za-z0-9]+$"
 HOLDER = r"(?i)(example|your|xxxx|0000|1234567|sample|dummy|changeme|placeholder|redacted|\*\*\*)"
 DICTIONARY = r"(account|address|admin|amount|api|april|archive|article|august|backup|build|cache|client|config|copy|data|date|december|default|demo|dist|document|download|email|error|event|example|february|file|first|folder|home|http|image|index|info|invoice|item|january|july|june|key|last|lib|list|local|log|mail|main|march|may|message|model|module|name|note|november|number|object|october|order|page|part|phone|photo|post|product|python|query|record|release|report|request|result|sample|section|september|server|service|session|share|site|source|static|system|table|task|test|text|time|update|upload|user|value|version|video|web|www|year)"
 
 
+def located(c: Column) -> Column:
+    """The runs of a word in order, each a struct of run, lead, rest, before, before2, after. c: word, its runs and the gaps around them, before, before2, after.
+
+    lead is the run before it in the word and the gap up to it, rest the gap behind it. Neighbouring words belong to the first and the last run."""
+    edge = lambda i, x: F.when(i == 0, x)
+    return F.transform(
+        c["runs"],
+        lambda r, i: F.struct(
+            r.alias("run"),
+            F.concat(F.coalesce(F.get(c["runs"], i - 1), F.lit("")), F.get(c["gaps"], i)).alias("lead"),
+            F.coalesce(F.get(c["gaps"], i + 1), F.lit("")).alias("rest"),
+            edge(i, c["before"]).alias("before"),
+            edge(i, c["before2"]).alias("before2"),
+            F.when(i < F.size(c["runs"]) - 1, F.lit("")).otherwise(c["after"]).alias("after"),
+        ),
+    )
+
+
+def with_runs(word: Column, before: Column, before2: Column, after: Column) -> Column:
+    return F.struct(
+        F.regexp_extract_all(word, F.lit(RUN), F.lit(0)).alias("runs"), F.split(word, RUN, -1).alias("gaps"), before.alias("before"), before2.alias("before2"), after.alias("after")
+    )
+
+
 def features(c: Column) -> Column:
-    """The features of a candidate: a struct with word, before, before2 and after."""
-    word = c["word"]
-    cand = F.regexp_extract(word, rf"({RUN})[^A-Za-z0-9]*$", 1)
-    lead = F.regexp_extract(word, rf"^(.*?){RUN}[^A-Za-z0-9]*$", 1)
+    """The features of the last run of a word: a struct with word, before, before2 and after. A word without a run has an empty one."""
+    word = with_runs(c["word"], c["before"], c["before2"], c["after"])
+    none = F.struct(F.lit("").alias("run"), c["word"].alias("lead"), F.lit("").alias("rest"), c["before"].alias("before"), c["before2"].alias("before2"), c["after"].alias("after"))
+    last = F.transform(F.array(word), lambda w: F.coalesce(F.get(located(w), F.size(w["runs"]) - 1), none))
+    return F.get(F.transform(last, run_features), 0)
+
+
+def run_features(c: Column) -> Column:
+    """The features of a run: a struct as ``located`` makes it."""
+    cand, lead = c["run"], c["lead"]
     n = F.greatest(F.length(cand), F.lit(1))
     share = lambda p: F.regexp_count(cand, F.lit(p)) / n
     near = F.concat_ws(" ", c["before2"], c["before"], lead)
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
+    around = lambda f: f(cand) | f(lead) | f(c["rest"])
     return F.struct(
         n.cast("double").alias("length"),
         share("[0-9]").alias("digits"),
@@ -57,15 +90,15 @@ def features(c: Column) -> Column:
         (F.size(F.array_distinct(F.split(cand, ""))) / n).alias("distinct"),
         (1 - F.length(F.regexp_replace(F.lower(cand), DICTIONARY, "")) / n).alias("dictionary"),
         flag(cand.rlike("^([0-9a-f]+|[0-9A-F]+)$")).alias("hex"),
-        F.regexp_count(word, F.lit(r"[/\\]")).cast("double").alias("slashes"),
+        (F.regexp_count(lead, F.lit(r"[/\\]")) + F.regexp_count(cand, F.lit("/"))).cast("double").alias("slashes"),
         F.regexp_count(cand, F.lit(r"\.")).cast("double").alias("dots"),
         F.regexp_count(cand, F.lit("[-_]")).cast("double").alias("dashes"),
-        flag(word.contains("@")).alias("at"),
+        flag(around(lambda x: x.contains("@"))).alias("at"),
         flag(cand.rlike(KNOWN)).alias("known"),
         flag(near.rlike(ABOUT)).alias("about"),
-        flag(lead.rlike("[=:][\"']?$") | c["before"].rlike("[=:]$")).alias("assigned"),
-        flag(c["before"].rlike(BENIGN)).alias("benign"),
-        flag(word.rlike(HOLDER)).alias("holder"),
+        flag(lead.rlike("[=:][\"']?$") | F.coalesce(c["before"].rlike("[=:]$"), F.lit(False))).alias("assigned"),
+        flag(F.coalesce(c["before"].rlike(BENIGN), F.lit(False)) | lead.rlike(BENIGN_LEAD)).alias("benign"),
+        flag(around(lambda x: x.rlike(HOLDER))).alias("holder"),
         flag(c["after"].isNull()).alias("last"),
     )
 
@@ -84,8 +117,22 @@ def labelled(n: int = LABELLED, seed: int = 17) -> list[tuple]:
     value = lambda: r.choice([pick(hexa, r.choice([16, 18, 20, 24, 32, 40, 64])), pick(alnum, r.randint(10, 44)), pick(alnum + "+/", r.choice([28, 40, 44])) + r.choice(["", "="]), pick(alnum + "!_-", r.randint(9, 16)) + "7"])
     quoted = lambda x: r.choice([x, f'"{x}"', f"'{x}'", x + ",", x + "."])
 
+    name = lambda: r.choice(["name", "user", "id", "title", "city", "status", "category", "type", "sha", "commit", "author", "label", "host", "checksum", "uuid", "url", "text", "lang", "ref", "state"])
+    plain = lambda: "".join(r.choices(syllables, k=r.randint(4, 8))).ljust(8, "e")
+    cased = lambda x: r.choice([x, x, x.capitalize(), x.upper()])
+    field = lambda key, x: r.choice(['{"%s":"%s"', ',"%s":"%s"', "{'%s':'%s'", "&%s=%s", ";%s=%s", "%s=%s"]) % (key, x) + r.choice(["", '"', '"}', '","n":"bob"}', ",", "&page=2", ";"])
+
     def secret():
-        k = r.randrange(6)
+        k = r.randrange(10)
+        if k == 6:  # inside structured text, with or without white space
+            return r.choice(["", plain(), "//" + plain() + ".com/" + plain() + "?"]) + field(about(), value()), r.choice([talk(), None]), r.choice([talk(), None])
+        if k == 7:
+            return r.choice([
+                r.choice(["postgres", "mysql", "https", "redis", "mongodb"]) + "://" + r.choice(["app", "admin", "root", "service1"]) + ":" + pick(alnum, r.randint(9, 24)) + "@" + r.choice(["db", "host", "db/prod", "10.0.0"]),
+                r.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + "234567", 16) + ":" + pick(r.choice([hexa, alnum]), r.choice([22, 32, 40])),
+            ]), talk(), talk()
+        if k >= 8:  # letters alone are secrets only where they are assigned
+            return r.choice([about() + r.choice("=:") + quoted(x), field(about(), x)]) if (x := r.choice([pick(lower, r.randint(10, 24)), plain() + plain(), pick(string.ascii_letters, r.randint(10, 24))])) else "", talk(), talk()
         if k == 0:
             return r.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + "234567", 15) + r.choice("234567"), talk(), talk()
         if k == 1:
@@ -96,8 +143,26 @@ def labelled(n: int = LABELLED, seed: int = 17) -> list[tuple]:
             return quoted(value()), r.choice("=:"), about()
         return quoted(value()), about() + r.choice([":", "=", "", " is".strip()]), talk()
 
+    def more(k):
+        word = r.choice([cased(plain()), cased(plain()), plain() + "-" + plain(), plain() + "/" + plain(), plain() + "_" + plain(), cased(about() + r.choice(["s", "ation", ""])).ljust(8, "s")])
+        if k < 16:  # ordinary words, also beside words that speak of secrets
+            return r.choice(['%s', '%s', '%s,', '"%s"', '(%s)', '%s:', '%s.', '%s...']) % word, r.choice([talk(), talk(), about(), "the", None]), r.choice([talk(), about(), "the", None])
+        if k == 16:
+            return r.choice([cased(plain()), plain() + ".", plain() + ","]), r.choice([talk(), "one"]) + ":", talk()
+        if k == 17:  # the name itself, before its value
+            return r.choice(["", '{"', ',"', "&", plain() + "."]) + about().ljust(8, "s") + r.choice(["=", ":", '":"', '":']), r.choice([talk(), None]), r.choice([talk(), None])
+        number = r.choice([str(r.randint(10**8, 10**16)), f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(1, 99)}.{r.randint(1, 99)}.{r.randint(100, 999)}.{r.randint(1, 99)}"])
+        sha = pick(hexa, r.choice([32, 40, 64]))
+        if k == 18:  # other fields of structured text, maybe behind a field of a secret
+            return r.choice(["", plain(), value()]) + field(name(), r.choice([cased(plain()), plain() + " ".strip(), number, plain() + "/" + plain(), plain() + "_" + plain()])), r.choice([talk(), None]), r.choice([talk(), None])
+        if k == 19:
+            return field(r.choice(["sha", "commit", "checksum", "md5", "digest", "hash", "ref", "build"]), sha), r.choice([talk(), None]), talk()
+        return r.choice(["", plain(), number, "a,b"]) + r.choice([",", ";", "|", "日本", "、"]) + r.choice([cased(plain()), number, plain() + "@" + plain() + ".com", "https://" + plain() + ".com/" + plain()]) + r.choice(["", ",", "。", ";x"]), r.choice([talk(), None]), r.choice([talk(), None])
+
     def other():
-        k = r.randrange(13)
+        k = r.randrange(21)
+        if k >= 13:
+            return more(k)
         ip = ".".join(str(r.randint(1, 250)) for _ in range(4))
         sha = pick(hexa, r.choice([7, 12, 32, 40, 64]))
         uuid = "-".join(pick(hexa, x) for x in (8, 4, 4, 4, 12))
@@ -164,6 +229,19 @@ class Forest:
             total += tree
         return total / len(self.trees)
 
+    def most(self, box: dict[str, tuple[float, float]]) -> float:
+        """The largest prediction over all rows whose features lie in these closed ranges."""
+
+        def of(tree, box) -> float:
+            if not isinstance(tree, tuple):
+                return tree
+            f, t, low, high = tree
+            a, b = box.get(NAMES[f], (-np.inf, np.inf))
+            below = of(low, box | {NAMES[f]: (a, min(b, t))}) if a <= t else 0.0
+            return max(below, of(high, box | {NAMES[f]: (max(a, np.nextafter(t, np.inf)), b)}) if b > t else 0.0)
+
+        return sum(of(tree, box) for tree in self.trees) / len(self.trees)
+
     def column(self, x: Column) -> Column:
         """The same as an expression over a struct of features."""
 
@@ -179,6 +257,31 @@ class Forest:
         return total / len(self.trees)
 
 
+#: An ordinary word, at most its first letter upper case, and the ranges its features therefore lie in.
+ORDINARY = "^[A-Za-z][a-z]{7,19}$"
+ZERO = (0.0, 0.0)
+ORDINARY_BOX = {"length": (8.0, 20.0), "upper": (0.0, 0.125), "turns": (0.0, 0.125)} | dict.fromkeys(("digits", "known", "dots", "dashes"), ZERO)
+
+
+def undecided(c: Column, forest: Forest) -> Column:
+    """False for runs that this forest can't call secrets whatever their other features are: ordinary words where the largest prediction
+    over all rows like them is below the threshold. If this forest has no such bound, every run is judged in full."""
+    word = F.concat(c["lead"], c["run"], c["rest"])
+    tests = {
+        "assigned": ~(c["lead"].rlike("[=:][\"']?$") | F.coalesce(c["before"].rlike("[=:]$"), F.lit(False))),
+        "slashes": ~c["lead"].rlike(r"[/\\]"),
+        "at": ~word.contains("@"),
+        "about": ~F.concat_ws(" ", c["before2"], c["before"], c["lead"]).rlike(ABOUT),
+    }
+    for names in (("assigned",), ("assigned", "slashes", "at"), ("assigned", "about"), ("assigned", "slashes", "at", "about")):
+        if forest.most(ORDINARY_BOX | dict.fromkeys(names, ZERO)) < THRESHOLD - 1e-5:
+            settled = c["run"].rlike(ORDINARY)
+            for n in names:
+                settled = settled & tests[n]
+            return ~settled
+    return F.lit(True)
+
+
 def train(spark: SparkSession, findings: DataFrame | None = None) -> Forest:
     """A forest from labelled findings: the generated ones, or at most LABELLED_MOST rows of a table."""
     if findings is None:
@@ -189,25 +292,17 @@ def train(spark: SparkSession, findings: DataFrame | None = None) -> Forest:
     return Forest(data[:, :-1], data[:, -1])
 
 
-def candidates(text: Column) -> Column:
-    """Array of (word, before, before2, after) for the candidate words of a text."""
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    return words, lambda w: F.filter(
-        F.transform(w, lambda x, i: F.when(x.rlike(CANDIDATE), F.struct(x.alias("word"), F.get(w, i - 1).alias("before"), F.get(w, i - 2).alias("before2"), F.get(w, i + 1).alias("after")))),
-        lambda s: s.isNotNull(),
-    )
-
-
 def findings(documents: DataFrame, forest: Forest, keep: list[Column]) -> DataFrame:
     """The columns to keep, n_candidates, and secrets: an array of (secret, probability)."""
-    has = F.coalesce(F.col("text").rlike("[0-9]"), F.lit(False))
-    words, found = candidates(F.col("text"))
-    split = documents.select(*keep, F.when(has, words).otherwise(F.array().cast("array<string>")).alias("_w"))
+    split = documents.select(*keep, F.coalesce(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.array().cast("array<string>")).alias("_w"))
     names = [c for c in split.columns if c != "_w"]
-    cands = split.select(*names, found(F.col("_w")).alias("_c"))
-    secret = lambda c: F.regexp_extract(c["word"], rf"({RUN})[^A-Za-z0-9]*$", 1)
-    measured = cands.select(*names, F.transform("_c", lambda c: F.struct(secret(c).alias("secret"), features(c).alias("x"))).alias("_f"))
-    judged = measured.select(*names, F.size("_f").cast("long").alias("n_candidates"), F.transform("_f", lambda f: F.struct(f["secret"].alias("secret"), F.round(forest.column(f["x"]), 6).alias("probability"))).alias("_s"))
+    # Each step is a projection of its own, so that what it makes is computed once.
+    near = lambda k: F.get(F.col("_w"), k)
+    words = F.filter(F.transform("_w", lambda x, i: F.when(x.rlike(RUN), with_runs(x, near(i - 1), near(i - 2), near(i + 1)))), lambda c: c.isNotNull())
+    cands = split.select(*names, words.alias("_c")).select(*names, F.flatten(F.transform("_c", located)).alias("_r"))
+    opened = cands.select(*names, F.size("_r").cast("long").alias("n_candidates"), F.filter("_r", lambda c: undecided(c, forest)).alias("_o"))
+    measured = opened.select(*names, "n_candidates", F.transform("_o", lambda c: F.struct(c["run"].alias("secret"), run_features(c).alias("x"))).alias("_f"))
+    judged = measured.select(*names, "n_candidates", F.transform("_f", lambda f: F.struct(f["secret"].alias("secret"), F.round(forest.column(f["x"]), 6).alias("probability"))).alias("_s"))
     return judged.select(*names, "n_candidates", F.filter("_s", lambda s: s["probability"] >= THRESHOLD).alias("secrets"))
 
 

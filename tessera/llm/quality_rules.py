@@ -4,7 +4,8 @@ Everything is a DataFrame expression: no Python runs on the executors and nothin
 document never meets another.
 
 Defined results: a null text has no words and fails; an empty text likewise. Null ids and repeated rows pass through, one output row
-per input row. Columns beside doc_id and text are ignored by ``measure`` and kept unchanged by ``keep``.
+per input row. Columns beside doc_id and text are ignored by ``measure``; ``keep`` passes on what the line rules
+left of each text and changes n_chars with it, all other columns stay unchanged.
 """
 
 from __future__ import annotations
@@ -77,12 +78,16 @@ def cleaned(text: Column) -> Column:
 
 
 def keep(documents: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns. The text itself is not edited."""
+    """The documents that pass, with all their columns: text without its failing lines, and n_chars brought up to date where the table has it."""
     own = [F.col(f"`{c}`") for c in documents.columns]
     judged = measure(documents.select(F.struct(*own).alias("doc_id"), F.col("text")))
     # A filter would be pushed below all projections, each expression copied into the next; a generator keeps each computed once.
     kept = judged.select(F.explode(F.when(F.col("kept"), F.array("doc_id"))).alias("row"))
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
+    edited = kept.select("row", cleaned(F.col("row")["text"]).alias("_text"))
+    now = {"text": F.col("_text")}
+    if "n_chars" in documents.columns:
+        now["n_chars"] = F.when(F.col("row")["n_chars"].isNotNull(), F.length("_text")).cast(documents.schema["n_chars"].dataType)
+    return edited.select(*[now.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])
 
 
 def op7_quality_rules(spark, sf_dir):

@@ -44,6 +44,16 @@ def test_line_rules(spark):
     assert [r["doc_id"] for r in quality_rules.keep(df).orderBy("doc_id").collect()] == [1, 3, 5]
 
 
+def test_kept_documents_lose_their_failing_lines(spark):
+    prose = "\n".join(" ".join(f"word{(i * 31 + k * 17) % 97}x{i}{k}" for k in range(9)) + "." for i in range(12))
+    text = "Home | News | About | Contact | Shop\n" + prose + "\n\nAll rights reserved."
+    df = spark.createDataFrame([(1, text, "a", len(text)), (2, prose, None, None), (None, prose, "b", 7)], "doc_id long, text string, source string, n_chars int")
+    got = quality_rules.keep(df)
+    assert got.schema == df.schema
+    left = prose + "\n"
+    assert Counter(map(tuple, got.collect())) == Counter([(1, left, "a", len(left)), (2, prose, None, None), (None, prose, "b", len(prose))])
+
+
 def test_quality_is_native(docs):
     plan = quality_rules.measure(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -39,7 +39,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack_documents(docs, vocabulary(public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.PATTERN)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(docs, vocabulary(path), public_tokenizers.PATTERN, special=packing.added_tokens(path))
 
 
 STAGES = [("quality_rules", quality_stage), ("jaccard_join", near_copies_stage), ("secret_scan", secrets_stage), ("cube_mixing", mixing_stage), ("vector_packing", packing_stage)]

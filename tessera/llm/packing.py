@@ -13,6 +13,7 @@ table gives no rows; columns other than those named are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -102,26 +103,37 @@ class Pieces:
         return len(self.ids)
 
 
-def byte_bpe(tokens: dict[bytes, int], pattern: str):
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a vocabulary file, which stand in a text as they are written, with their ids."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens", ())
+    if any(t[flag] for t in found for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that look at their neighbours are not supported")
+    return {t["content"]: t["id"] for t in found}
+
+
+def byte_bpe(tokens: dict[bytes, int], pattern: str, special: dict[str, int] | None = None):
     """A byte-level BPE encoder over a vocabulary whose ids are its merge ranks, as public vocabularies of this kind have.
 
     The tests hold its ids against those of the tokenizers library on whole tables; it is three times as fast."""
     import tiktoken
 
-    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=tokens, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=tokens, special_tokens=special or {})
 
 
 DOCUMENT_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(documents: DataFrame, tokens: dict[bytes, int], pattern: str, length: int = LENGTH, segments: int = SEGMENTS) -> DataFrame:
+def pack_documents(documents: DataFrame, tokens: dict[bytes, int], pattern: str, length: int = LENGTH, segments: int = SEGMENTS, special: dict[str, int] | None = None) -> DataFrame:
     """Packs all of documents, a row per piece. Pieces as long as a sequence stand alone; the rest of each document waits in the pool.
 
-    tokens: the vocabulary with its ids, broadcast; its size does not depend on the corpus."""
-    shared = documents.sparkSession.sparkContext.broadcast(tokens)
+    tokens: the vocabulary with its ids, broadcast; its size does not depend on the corpus. special: strings that have an id of their own
+    wherever a text holds them, as the library's added tokens do at its default settings."""
+    shared = documents.sparkSession.sparkContext.broadcast((tokens, special))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(shared.value, pattern).encode_to_numpy
+        vocabulary_, special_ = shared.value
+        encode = byte_bpe(vocabulary_, pattern, special_).encode_to_numpy
         packer, ids, rows = Packer((length, segments, length), cut=True), numbered(), []
 
         def put(pieces: list) -> None:
@@ -137,7 +149,7 @@ def pack_documents(documents: DataFrame, tokens: dict[bytes, int], pattern: str,
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.append(encode(text.as_py() or "", disallowed_special=()), np.uint32(END)).astype("<u4")
+                found = np.append(encode(text.as_py() or "", allowed_special="all"), np.uint32(END)).astype("<u4")
                 whole = Pieces(doc, found, 0, len(found))
                 tail = len(found) // length * length
                 for at in range(0, tail, length):
@@ -197,8 +209,8 @@ def pack_examples(examples: DataFrame, tokens: int, segments: int, loss_tokens:
 def op5_vector_packing(spark, sf_dir):
     import public_tokenizers
 
-    tokens = vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
-    return pack_documents(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(path), public_tokenizers.PATTERN, special=added_tokens(path))
 
 
 QUERIES = {"op5_vector_packing": op5_vector_packing}

@@ -139,6 +139,20 @@ def test_ids_are_those_of_the_library():
         assert e.encode_to_numpy(x, disallowed_special=()).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts_have_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)  # at its default settings
+    texts = ["x<|endoftext|>y", "<|endoftext|>", "a <|endoftext|><|endoftext|> b", "<|endoftext| >", "  <|endoftext|>\n\n 12", "no such token"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [87, 50256, 88]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for i, x in enumerate(texts)}
+    got = packing.op5_vector_packing(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in got} == {i: len(a) for i, a in want.items()}
+    for r in got:
+        assert r["ids_crc32"] == zlib.crc32(want[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+
+
 def test_pack_examples_keeps_limits(spark):
     rng = np.random.default_rng(1)
     rows = [(i, int(n), int(n * rng.random())) for i, n in enumerate(rng.integers(1, 900, 3000))] + [(9999, 5000, 5000), (None, None, None)]

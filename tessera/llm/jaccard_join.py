@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, stored, table, windows
+from .common import Rolling, Words, salted, sliced, stored, table
 from .components import components
-from .substring_dedup import _lists, _lists_of, sliced
+from .substring_dedup import _lists
 
 SHINGLE, THRESHOLD = 3, 90
 HASH = Rolling(303)
@@ -47,10 +47,17 @@ LEADERS = 8
 BLOCK = 512
 
 
-def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; of the whole word sequence if that is shorter."""
-    words = (text or "").encode().lower().split()
-    return np.unique(windows(words, min(k, len(words)), HASH)) if words else np.zeros(0, np.uint64)
+def shingles(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles; of the whole word sequence if that is shorter."""
+    words = Words(texts, lower=True)
+    start = words.windows(k)
+    short = np.flatnonzero((words.n > 0) & (words.n < k))
+    start, end = np.concatenate([start, words.at[short]]), np.concatenate([start + k, words.at[short + 1]])
+    found, text = HASH.spans(HASH.sums(words), start, end), words.text[start]
+    by = np.argsort(text, kind="stable")
+    at = np.searchsorted(text[by], np.arange(len(words.n) + 1))
+    found = found[by]
+    return [np.unique(found[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def needed(n, threshold: int):
@@ -78,8 +85,8 @@ def _frequent(documents: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     part = documents.where(F.pmod(F.xxhash64("doc_id", F.lit("df")), F.lit(1 << 20)) < int(min(1 / 8, SAMPLE / max(1, n)) * (1 << 20)))
 
     def send(batches):
-        for b in sliced(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *[shingles(t.as_py(), k).view(np.int64) for t in b.column(0)]]))], names=["s"])
+        for b in sliced(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *[s.view(np.int64) for s in shingles(b.column(0), k)]]))], names=["s"])
 
     counts = part.select("text").mapInArrow(send, "s long").groupBy("s").count().where(F.col("count") >= FREQUENT)
     rows = counts.orderBy(F.desc("count"), "s").limit(FREQUENT_MOST).collect()
@@ -116,8 +123,8 @@ def verify(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, threshol
     involved = near.select(F.explode(F.array("a", "b")).alias("_rep")).distinct()
 
     def whole(batches):
-        for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists_of([shingles(t.as_py(), k).view(np.int64) for t in batch.column(1)])], names=["rep", "s"])
+        for batch in sliced(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists_of([s.view(np.int64) for s in shingles(batch.column(1), k)])], names=["rep", "s"])
 
     # A repeated id may stand for several texts; comparing any two of its sets is right, as its rows are one document.
     kept = texts.join(involved, texts["doc_id"] == involved["_rep"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id", "text"])
@@ -222,6 +229,10 @@ def fold(bits: bytes, length: int) -> np.ndarray:
     return a
 
 
+def _lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -236,10 +247,9 @@ def similar(documents: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD)
 
     def measure(batches):
         values, rank = frequent.value
-        for b in sliced(batches):
+        for b in sliced(batches, 1):
             size, digest, first, bits = [], [], [], []
-            for t in b.column(1):
-                found = shingles(t.as_py(), k)
+            for found in shingles(b.column(1), k):
                 size.append(len(found))
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 first.append(prefix(found, values, rank, threshold).view(np.int64))

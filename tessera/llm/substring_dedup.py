@@ -4,7 +4,7 @@ A word goes if a window over it also starts in a document with a smaller id. Mos
 one. Of the GRAM-word hashes inside a window the smallest is its minimiser, which equal windows share; neighbouring windows mostly have the
 same one and form a run, so about a fifth as many minimisers are sent. Where a minimiser occurs in one document only, no window around it
 repeats. For the others whole runs are compared by hash, then, where runs with one minimiser differ (at the ends of passages), their single
-windows, with 128 bits in either case. The smallest document of each run and window is kept; what is found in a later one is a hit.
+windows, with two independent hashes of 61 bits in either case. The smallest document of each run and window is kept; what is found in a later one is a hit.
 Windows are judged on the input, never on what is left.
 
 Counts are combined before the shuffles, and the joins that lead back from hashes to documents are plain equi-joins of two stored or
@@ -25,31 +25,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, stored, table, windows, word_bounds
+from .common import Rolling, Words, mixed, salted, sliced, stored, table
 
 WINDOW, GRAM = 13, 5
 #: Two independent hashes of the same spans.
 FIRST, SECOND = Rolling(101), Rolling(202)
 
 
-def minimisers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """For each window the smallest hash of a gram inside it."""
-    grams, wide = windows(words, gram, FIRST), window - gram + 1
-    if len(words) < window:
-        return np.zeros(0, np.uint64)
-    low, have = grams, 1
-    while have < wide:
+def minimisers(words: Words, sums: np.ndarray, places: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """For each window that starts at places the smallest hash of a gram inside it. sums: those of FIRST."""
+    starts = np.arange(max(0, len(words.index) - gram + 1))
+    low, have, wide = FIRST.spans(sums, starts, starts + gram), 1, window - gram + 1
+    while have < wide and len(low):
         more = min(have, wide - have)
         low = np.minimum(low[:-more], low[more:])
         have += more
-    return low
+    return low[places]
 
 
-def covered(hits: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
-    """The maximal intervals of words under hit windows, as a mask over n words."""
+class Runs:
+    """Runs of consecutive windows of a text with one minimiser, over a batch: the minimiser m, the text of each, its first window, and
+    the end of its last."""
+
+    def __init__(self, words: Words):
+        self.words, self.first_sums, self.places = words, FIRST.sums(words), words.windows(WINDOW)
+        low, text = minimisers(words, self.first_sums, self.places), words.text[self.places]
+        turn = np.flatnonzero((low[1:] != low[:-1]) | (text[1:] != text[:-1])) + 1
+        first = np.concatenate(([0], turn)) if len(low) else turn
+        last = np.concatenate((turn, [len(low)])) - 1 if len(low) else turn
+        self.m, self.text, self.start, self.end = low[first], text[first], self.places[first], self.places[last] + WINDOW
+        self.size = last - first + 1
+
+    def hashes(self) -> np.ndarray:
+        """Of all words under each run."""
+        self.second_sums = SECOND.sums(self.words)
+        return SECOND.spans(self.second_sums, self.start, self.end)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of each window at places, once ``hashes`` has been asked for."""
+        return tuple(of.spans(sums, self.places, self.places + WINDOW) for of, sums in ((FIRST, self.first_sums), (SECOND, self.second_sums)))
+
+
+def covered(places: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
+    """The maximal intervals of words under the windows at places, as a mask over n words."""
     edges = np.zeros(n + 1, np.int64)
-    edges[: len(hits)] += hits
-    edges[window : window + len(hits)] -= hits
+    edges[places] += 1
+    edges[places + window] -= 1
     return np.cumsum(edges[:n]) > 0
 
 
@@ -59,38 +80,20 @@ def intervals(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().split()
-
-
 def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
     values, offsets = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum([0, *[n or 0 for n in column.value_lengths().to_pylist()]])
     return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
 
 
-def _lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
-
-
-SLICE = 2000
-
-
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of at most SLICE rows, so that what a task holds is bounded."""
-    for b in batches:
-        for at in range(0, b.num_rows, SLICE):
-            yield b.slice(at, SLICE)
+def _keys(text: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Numbers that tell (text of the batch, value) apart by a 64-bit hash."""
+    return mixed(value ^ mixed(text.astype(np.uint64) + np.uint64(1)))
 
 
-def runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive windows with one minimiser: the minimiser, the hash of all words under the run, its first and last window."""
-    low = minimisers(words)
-    if not len(low):
-        return low, low, low.astype(np.int64), low.astype(np.int64)
-    first = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
-    last = np.concatenate((first[1:], [len(low)])) - 1
-    data, start, end = word_bounds(words)
-    return low[first], SECOND.spans(data, start[first], end[last + WINDOW - 1]), first, last
+def _listed(column: pa.ListArray) -> np.ndarray:
+    """The keys of a batch's lists of values."""
+    n = np.array([k or 0 for k in column.value_lengths().to_pylist()], np.int64)
+    return _keys(np.repeat(np.arange(len(n)), n), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
 
 def repeated_windows(documents: DataFrame) -> DataFrame:
@@ -98,53 +101,47 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
 
     def send_minimisers(batches):
-        for b in sliced(batches):
-            yield pa.RecordBatch.from_arrays([_lists_of([np.unique(minimisers(_words(t.as_py()))).view(np.int64) for t in b.column(0)])], names=["ms"])
+        for b in sliced(batches, 0):
+            runs = Runs(Words(b.column(0)))
+            _, at = np.unique(_keys(runs.text, runs.m), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(runs.m[at].view(np.int64))], names=["m"])
 
     def send_runs(batches):
-        for b in sliced(batches):
-            ids, ms, rs = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                m, r, *_ = runs(_words(t.as_py()))
-                _, at = np.unique(r, return_index=True)
-                ids.append(np.full(len(at), i))
-                ms.append(m[at].view(np.int64))
-                rs.append(r[at].view(np.int64))
-            yield _flat({"doc_id": ids, "m": ms, "r": rs})
-
-    shared = stored(docs.select("text").mapInArrow(send_minimisers, "ms array<long>").select(F.explode("ms").alias("m")).groupBy("m").count().where("count > 1").select("m"))
-    found = stored(docs.mapInArrow(send_runs, "doc_id long, m long, r long").join(shared, "m"))
-    first = stored(found.groupBy("m", "r").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
-    whole = found.join(first.where("least < most").drop("most"), ["m", "r"]).where("doc_id > least").select("doc_id", F.col("r").alias("hit"))
+        for b in sliced(batches, 1):
+            runs = Runs(Words(b.column(1)))
+            r = runs.hashes()
+            _, at = np.unique(_keys(runs.text, r), return_index=True)
+            yield _flat({"doc_id": b.column(0).to_numpy()[runs.text[at]], "m": runs.m[at], "r": r[at]})
+
+    shared = stored(docs.select("text").mapInArrow(send_minimisers, "m long").groupBy("m").count().where("count > 1"))
+    sent = shared.agg(F.sum("count")).first()[0] or 0
+    found = stored(salted(docs.mapInArrow(send_runs, "doc_id long, m long, r long"), shared, ["m"], "count", sent))
+    first = stored(found.groupBy("m", "r").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("count")))
+    whole = salted(found, first.where("least < most").drop("most"), ["m", "r"], "count", sent).where("doc_id > least").select("doc_id", F.col("r").alias("hit"))
 
     # Runs end where passages do, so the same window may lie in different runs. Later copies of a run are hits already; its first document
     # alone is still open, and only where another run has the same minimiser.
-    several = first.groupBy("m").count().where("count > 1").select("m")
-    asked = first.join(several, "m").groupBy(F.col("least").alias("doc_id")).agg(F.collect_set("r").alias("rs"))
+    several = first.groupBy("m").agg(F.count("*").alias("count")).where("count > 1")
+    asked = salted(first.select("m", "r", "least"), several, ["m"], "count", sent).groupBy(F.col("least").alias("doc_id")).agg(F.collect_set("r").alias("rs"))
 
     def send_windows(batches):
-        for b in sliced(batches):
-            ids, one, two = [], [], []
-            for i, t, rs in zip(b.column(0).to_pylist(), b.column(1), _lists(b.column(2)), strict=True):
-                words = _words(t.as_py())
-                _, r, start, end = runs(words)
-                on = np.isin(r.view(np.int64), rs)
-                at = np.flatnonzero(np.repeat(on, end - start + 1))
-                if len(at):
-                    a, place = np.unique(windows(words, WINDOW, FIRST)[at].view(np.int64), return_index=True)
-                    ids.append(np.full(len(a), i))
-                    one.append(a)
-                    two.append(windows(words, WINDOW, SECOND)[at].view(np.int64)[place])
-            yield _flat({"h1": one, "h2": two, "doc_id": ids})
+        for b in sliced(batches, 1):
+            runs = Runs(Words(b.column(1)))
+            on = np.isin(_keys(runs.text, runs.hashes()), _listed(b.column(2)))
+            at = np.flatnonzero(np.repeat(on, runs.size))
+            (one, two), text = (h[at] for h in runs.windows()), runs.words.text[runs.places[at]]
+            _, once = np.unique(_keys(text, one), return_index=True)
+            yield _flat({"h1": one[once], "h2": two[once], "doc_id": b.column(0).to_numpy()[text[once]]})
 
     open_ = stored(docs.join(asked, "doc_id").select("doc_id", "text", "rs").mapInArrow(send_windows, "h1 long, h2 long, doc_id long"))
-    early = stored(open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least"))
-    single = open_.join(early, ["h1", "h2"]).where("doc_id > least").select("doc_id", F.col("h1").alias("hit"))
+    early = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("count"))
+    early = stored(early.where("least < most").drop("most"))
+    single = salted(open_, early, ["h1", "h2"], "count", sent).where("doc_id > least").select("doc_id", F.col("h1").alias("hit"))
     return stored(whole.unionByName(single)).groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
 
 
-def _flat(columns: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in columns.values()], names=list(columns))
+def _flat(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in columns.values()], names=list(columns))
 
 
 def dedup(documents: DataFrame, text: bool = False) -> DataFrame:
@@ -153,21 +150,31 @@ def dedup(documents: DataFrame, text: bool = False) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def remove(batches):
-        for b in sliced(batches):
-            out = []
-            for t, hit in zip(b.column(1), _lists(b.column(2)), strict=True):
-                words = _words(t.as_py())
-                mask = np.zeros(len(words), bool)
-                if len(hit):
-                    _, r, start, end = runs(words)
-                    of_runs = np.repeat(np.isin(r.view(np.int64), hit), end - start + 1)
-                    mask = covered(of_runs | np.isin(windows(words, WINDOW, FIRST).view(np.int64), hit), len(words))
-                kept = b" ".join([w for w, gone in zip(words, mask.tolist(), strict=True) if not gone] if mask.any() else words)
-                row = (len(words), int(mask.sum()), hashlib.sha256(kept).hexdigest())
-                out.append((*row, [{"first": a, "end": z} for a, z in intervals(mask)], kept.decode()) if text else row)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])), pa.string())[: 5 if text else 3]
-            cols = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept"][: 1 + len(cols)])
+        for b in sliced(batches, 1):
+            words, hit = Words(b.column(1)), _listed(b.column(2))
+            mask = np.zeros(len(words.index), bool)
+            if len(hit):
+                runs = Runs(words)
+                on = np.repeat(np.isin(_keys(runs.text, runs.hashes()), hit), runs.size)
+                rest = np.flatnonzero(~on)
+                on[rest] = np.isin(_keys(words.text[runs.places], runs.windows()[0])[rest], hit)
+                mask = covered(runs.places[on], len(mask))
+            removed = np.concatenate(([0], np.cumsum(mask)))
+            removed = removed[words.at[1:]] - removed[words.at[:-1]]
+            digests, spans, kept_texts = [], [], []
+            for i, t in enumerate(b.column(1)):
+                kept = (t.as_py() or "").encode().split()
+                gone = mask[words.at[i] : words.at[i + 1]]
+                if removed[i]:
+                    kept = [w for w, x in zip(kept, gone.tolist(), strict=True) if not x]
+                kept = b" ".join(kept)
+                digests.append(hashlib.sha256(kept).hexdigest())
+                if text:
+                    spans.append([{"first": a, "end": z} for a, z in intervals(gone)])
+                    kept_texts.append(kept.decode())
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+            cols = [b.column(0), pa.array(words.n), pa.array(removed), pa.array(digests, pa.string()), *([pa.array(spans, kind), pa.array(kept_texts, pa.string())] if text else [])]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept"][: len(cols)])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", removed array<struct<first: long, end: long>>, kept string" * text
     return rows.join(hits, rows["doc_id"] == hits["_id"], "left").select("doc_id", "text", "hits").mapInArrow(remove, schema)

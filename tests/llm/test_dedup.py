@@ -6,8 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm import jaccard_join, substring_dedup
+from tessera.llm import common, jaccard_join, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -34,6 +35,35 @@ def test_dedup_is_brute_force(docs, rows):
     assert Counter(tuple(r) for r in substring_dedup.dedup(docs).collect()) == brute_dedup(rows)
 
 
+def test_texts_that_a_hash_modulo_a_power_of_two_confuses(spark):
+    """Thue-Morse words collide modulo 2^64 whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    word = lambda flip: "".join("ab"[b ^ flip] for b in bits)
+    same = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([word(0), *same])), (2, " ".join([word(1), *same])), (3, " ".join("ab"[b] for b in bits)), (4, " ".join("ab"[1 - b] for b in bits[:900]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in substring_dedup.dedup(df).collect())
+    assert got == brute_dedup(rows) and {r[0]: r[2] for r in got}[2] == 0
+    for k in (13, 1024):
+        assert Counter(map(tuple, jaccard_join.similar(df, k).collect())) == brute_components(rows, k, 90)
+
+
+def test_products_modulo_the_prime():
+    rng = np.random.default_rng(0)
+    a, b = (np.concatenate([rng.integers(0, common.PRIME, 500, dtype=np.uint64), np.array([0, 1, common.PRIME - 1], np.uint64)]) for _ in range(2))
+    assert common.product(a, b).tolist() == [x * y % common.PRIME for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def test_salted_join_is_a_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    many = spark.createDataFrame([(i % 7 if i < 50 else 7, i) for i in range(500)] + [(None, 1)], "k int, x int")
+    one = many.groupBy("k").agg(F.max("x").alias("y"), F.count("*").alias("rows")).where("k <> 3")
+    want = many.join(one, "k").select("k", "x", "y")
+    assert Counter(map(tuple, common.salted(many, one, ["k"], "rows", 500).collect())) == Counter(map(tuple, want.collect()))
+    left = many.join(one, "k", "left").select("k", "x", "y")
+    assert Counter(map(tuple, common.salted(many, one, ["k"], "rows", 500, "left").collect())) == Counter(map(tuple, left.collect()))
+
+
 def test_dedup_text_and_intervals(docs):
     for r in substring_dedup.dedup(docs, text=True).collect():
         assert sum(x["end"] - x["first"] for x in r["removed"]) == r["n_removed"]

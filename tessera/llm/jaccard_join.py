@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +43,7 @@ PAIRS, PAIRS_EACH, PROGRESS, ROUNDS = 100_000, 0.2, 0.7, 4
 #: Leaders of a key in a round; keys with no more pairs than that for each member wait for the end.
 LEADERS = 8
 #: Members of a key in a block.
-BLOCK = 512
+BLOCK = 2048
 
 
 def shingles(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -96,18 +95,30 @@ def _frequent(documents: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    """A set's shingles in a map of 8 to 16 bits for each; longer sets have longer maps, whose sizes are powers of two."""
-    bits = max(256, 8 << int(len(found)).bit_length())
+    """A set's shingles in a map of 2 to 4 bits for each; longer sets have longer maps, whose sizes are powers of two."""
+    bits = max(256, 2 << int(len(found)).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(found & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def may_link(x: bytes, y: bytes, m: int, n: int, threshold: int) -> bool:
-    """False only if the bitmaps show that sets of m and n shingles can't link: a bit of one alone is a shingle that the other lacks."""
-    a, b = fold(x, min(len(x), len(y))), fold(y, min(len(x), len(y)))
-    both = min(m - int(np.bitwise_count(a & ~b).sum()), n - int(np.bitwise_count(b & ~a).sum()))
-    return 100 * both >= threshold * (m + n - both)
+def may_link(x: list[bytes], y: list[bytes], m: np.ndarray, n: np.ndarray, threshold: int) -> np.ndarray:
+    """False only where the bitmaps show that sets of m and n shingles can't link: a bit of one alone is a shingle that the other lacks."""
+    out, sizes = np.zeros(len(x), bool), np.array([(len(u), len(v)) for u, v in zip(x, y, strict=True)]).reshape(-1, 2)
+    for size in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == size).all(1))
+        a, b = (folded([z[i] for i in at], size.min()) for z in (x, y))
+        both = np.minimum(m[at] - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), n[at] - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+        out[at] = 100 * both >= threshold * (m[at] + n[at] - both)
+    return out
+
+
+def folded(maps: list[bytes], length: int) -> np.ndarray:
+    """Bitmaps of one size as rows of so many bytes: halves of longer ones are laid over each other."""
+    a = np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), -1)
+    while a.shape[1] * 8 > length:
+        a = a[:, : a.shape[1] // 2] | a[:, a.shape[1] // 2 :]
+    return a
 
 
 def verify(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -115,8 +126,9 @@ def verify(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, threshol
 
     def screen(batches):
         for batch in sliced(batches):
-            cols = [c.to_pylist() for c in batch.columns]
-            yield batch.select([0, 1]).filter(pa.array([may_link(x, y, m, n, threshold) for _, _, x, m, y, n in zip(*cols, strict=True)], pa.bool_()))
+            x, m, y, n = (batch.column(i) for i in range(2, 6))
+            ok = may_link(x.to_pylist(), y.to_pylist(), m.to_numpy(), n.to_numpy(), threshold)
+            yield batch.select([0, 1]).filter(pa.array(ok))
 
     x, y = (maps.select(F.col("rep").alias(c), F.col("bits").alias("bits" + c), F.col("n").alias("n" + c)) for c in "ab")
     near = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "bitsa", "na", "bitsb", "nb").mapInArrow(screen, "a long, b long").distinct())
@@ -157,10 +169,10 @@ def links(sets: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFram
     pairs_of = able.where(F.col("n") <= boundary).select("rep", "n", F.lit(0).alias("pos"), F.lit(False).alias("list"), F.explode(F.flatten(F.transform("tokens", pair))).alias("key"))
     keyed = listed.where(F.col("n") * 100 >= threshold * boundary).select("rep", "n", "pos", F.lit(True).alias("list"), "key").unionByName(pairs_of)
     sent = keyed.count()
-    shared = keyed.groupBy("list", "key").count().where("count > 1").select("list", "key")
-    keyed = stored(keyed.join(shared, ["list", "key"]))
-    maps = stored(sets.join(keyed.select(F.col("rep").alias("_rep")).distinct(), F.col("rep") == F.col("_rep"), "left_semi").select("rep", "n", "bits"))
-
+    on = ["list", "key"]
+    shared = keyed.groupBy(*on).agg(F.count("*").alias("rows")).where("rows > 1")
+    keyed = stored(salted(keyed, shared, on, "rows", sent))
+    maps = sets.select("rep", "n", "bits")
 
     def fits(m: str, i: str, n: str, j: str) -> Column:
         """Whether sets of m and n shingles can link if their first common shingle is at places i and j: what follows must reach the overlap."""
@@ -169,66 +181,32 @@ def links(sets: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFram
 
     found, before, named = [], None, keyed.withColumn("c", F.col("rep"))
     for turn in range(ROUNDS):
-        held = named.groupBy("list", "key", "c").count().groupBy("list", "key").agg(F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        held = stored(held.where("k * k > own").withColumn("cross", (F.col("k") * F.col("k") - F.col("own")) / 2))
+        of_keys = named.groupBy(*on, "c").count().groupBy(*on).agg(F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("own"), F.max_by("c", "count").alias("most"), F.max("count").alias("n_most"))
+        held = stored(of_keys.where("k * k > own").withColumn("cross", (F.col("k") * F.col("k") - F.col("own")) / 2))
         left = held.agg(F.sum("cross")).first()[0] or 0
         if left <= max(PAIRS, PAIRS_EACH * sent) or (before and left > PROGRESS * before):
             break
         before = left
-        large = named.join(held.where(F.col("cross") > LEADERS * F.col("k")).select("list", "key"), ["list", "key"])
+        large = salted(named, held.where(F.col("cross") > LEADERS * F.col("k")).select(*on, "k", F.col("k").alias("rows")), on, "rows", sent)
         tops = [F.min(F.struct(F.xxhash64("rep", F.lit(turn), F.lit(i)).alias("h"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("c").alias("ca"))) for i in range(LEADERS)]
-        of = large.groupBy("list", "key").agg(F.array_distinct(F.array(*tops)).alias("tops")).select("list", "key", F.inline("tops"))
-        led = large.join(of, ["list", "key"]).where((F.col("c") != F.col("ca")) & fits("n", "pos", "na", "ia"))
+        of = large.groupBy(*on).agg(F.array_distinct(F.array(*tops)).alias("tops"), F.first("k").alias("rows")).select(*on, "rows", F.inline("tops"))
+        led = salted(large.drop("k"), of, on, "rows", sent).where((F.col("c") != F.col("ca")) & fits("n", "pos", "na", "ia"))
         pairs = led.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         found.append(stored(verify(pairs, maps, texts, k, threshold)))
         labels = components(_union(found))
         named = stored(keyed.join(labels, keyed["rep"] == labels["node"], "left").select("rep", "n", "pos", "list", "key", F.coalesce("component", "rep").alias("c")))
-    # What is left under large keys is compared in blocks of their members, which give pairs that pass the bitmaps alone; the pairs of small
-    # keys are joined.
-    size = held.select("list", "key", "k", (F.col("cross") > LEADERS * F.col("k")).alias("large"))
-    named = named.join(size, ["list", "key"])
-    x, y = (named.where(~F.col("large")).select("list", "key", *[F.col(o).alias(o[0] + z) for o in ("rep", "n", "pos", "c")]) for z in "ab")
-    rest = x.join(y, (x["list"] == y["list"]) & (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & (F.col("ca") != F.col("cb")) & fits("na", "pa", "nb", "pb"))
-    blocks = F.ceil(F.col("k") / BLOCK)
-    dealt = named.where("large").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("rep"), blocks)}).join(maps.select("rep", "bits"), "rep")
-    dealt = dealt.select("list", "key", "rep", "n", "pos", "c", "bits", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    near = dealt.groupBy("list", "key", "low", "high").applyInPandas(lambda pdf: block_pairs(pdf, threshold), "a long, b long")
-    pairs = rest.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(near)
+    # What is left is compared whole, but for members of a key's largest component, which meet members of others alone. So what is looked at
+    # stays within a few times the pairs of different components. A key's members are dealt in blocks, which the others go to.
+    size = held.select(*on, "most", F.ceil(F.col("k") / BLOCK).alias("blocks"), F.col("k").alias("rows"))
+    named = salted(named, size, on, "rows", sent).select(*on, "blocks", (F.col("c") != F.col("most")).alias("m"), "rep", "n", "pos", "c")
+    x, y = (named.select(*on, "blocks", *[F.col(o).alias(o[0] + z) for o in ("m", "rep", "n", "pos", "c")]) for z in "ab")
+    x = x.where("ma").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    y = y.withColumn("block", F.pmod(F.xxhash64("rb"), F.col("blocks"))).drop("blocks")
+    rest = x.join(y, [*on, "block"]).where((~F.col("mb") | (F.col("ra") < F.col("rb"))) & (F.col("ca") != F.col("cb")) & fits("na", "pa", "nb", "pb"))
+    pairs = rest.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     return _union([*found, verify(pairs.distinct(), maps, texts, k, threshold)])
 
 
-def block_pairs(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
-    """Pairs of rows of a low and a high block (or of one block) that differ in component and can link by size, place and bitmap."""
-    out = []
-    low, high = pdf[pdf["block"] == pdf["low"]], pdf[pdf["block"] == pdf["high"]]
-    words = lambda rows, length: np.stack([fold(b, length) for b in rows["bits"]])
-    for m, x in low.groupby(low["bits"].str.len()):
-        for n, y in high.groupby(high["bits"].str.len()):
-            u, v = words(x, min(m, n)), words(y, min(m, n))
-            b, nb, ib, cb = (y[c].to_numpy()[None, :] for c in ("rep", "n", "pos", "c"))
-            step = max(1, (1 << 22) // max(1, v.size))
-            for at in range(0, len(x), step):
-                some = x.iloc[at : at + step]
-                a, na, ia, ca = (some[c].to_numpy()[:, None] for c in ("rep", "n", "pos", "c"))
-                overlap = -(-(na + nb) * threshold // (100 + threshold))
-                ok = (ca != cb) & (100 * np.minimum(na, nb) >= threshold * np.maximum(na, nb)) & (na - ia >= overlap) & (nb - ib >= overlap)
-                w = u[at : at + step, None, :]
-                ok &= (na - np.bitwise_count(w & ~v[None]).sum(2) >= overlap) & (nb - np.bitwise_count(v[None] & ~w).sum(2) >= overlap)
-                i, j = np.nonzero(ok)
-                out.append(np.stack([np.minimum(a[i, 0], b[0, j]), np.maximum(a[i, 0], b[0, j])], 1))
-    found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame(found, columns=["a", "b"])
-
-
-def fold(bits: bytes, length: int) -> np.ndarray:
-    """A bitmap of so many bytes: halves of longer ones are laid over each other."""
-    a = np.frombuffer(bits, np.uint64)
-    while len(a) * 8 > length:
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    return a
-
-
 def _lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
@@ -257,14 +235,23 @@ def similar(documents: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), _lists_of(first), pa.array(bits, pa.binary())], names=["doc_id", "n", "digest", "tokens", "bits"])
 
     sets = stored(docs.mapInArrow(measure, "doc_id long, n long, digest binary, tokens array<long>, bits binary"))
+    n_rows = sets.count()
     known = sets.where("n > 0 and doc_id is not null")
-    reps = stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    reps = stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
     # Only these rows carry the long columns on; written once, as every later step reads them.
-    nodes = stored(known.join(reps, "digest").where("doc_id = rep").dropDuplicates(["rep", "digest"]).select("rep", "n", "tokens", "bits"))
-    member = stored(known.select("doc_id", "digest").join(reps, "digest").where("doc_id <> rep").select("doc_id", "rep"))
-    edges = links(nodes, docs, k, threshold).unionByName(member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    found = components(edges)
-    return sets.join(found, sets["doc_id"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    first = reps.select(F.col("digest").alias("_digest"), "rep")
+    nodes = known.join(first, (known["digest"] == first["_digest"]) & (known["doc_id"] == first["rep"]))
+    nodes = stored(nodes.dropDuplicates(["rep", "digest"]).select("rep", "n", "tokens", "bits"))
+    # Copies follow their set and take no part in the search; only ids that stand for several sets do, as they tie these together.
+    several = stored(sets.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d < e").select("doc_id"))
+    ties = salted(known.select("doc_id", "digest").join(several, "doc_id", "left_semi"), reps, ["digest"], "rows", n_rows).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = stored(components(links(nodes, docs, k, threshold).unionByName(ties)))
+    of_set = reps.join(found, reps["rep"] == found["node"], "left").select("digest", "rows", F.coalesce("component", "rep").alias("of_set"))
+    of_id = found.join(several, found["node"] == several["doc_id"], "left_semi").select("node", F.col("component").alias("of_id"))
+    out = salted(sets.select("doc_id", "n", "digest"), of_set, ["digest"], "rows", n_rows, "left")
+    out = out.join(of_id, out["doc_id"] == of_id["node"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_id", "of_set", "doc_id")).alias("component_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component)
 
 
 def keep_one(documents: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:

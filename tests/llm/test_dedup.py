@@ -126,4 +126,4 @@ def test_bitmaps_never_drop_a_link():
         b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.2], rng.integers(0, 2**63, int(rng.integers(0, 40))).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
         if len(b) and 100 * both >= 90 * (len(a) + len(b) - both):
-            assert jaccard_join.may_link(jaccard_join.bitmap(a), jaccard_join.bitmap(b), len(a), len(b), 90)
+            assert jaccard_join.may_link([jaccard_join.bitmap(a)], [jaccard_join.bitmap(b)], np.array([len(a)]), np.array([len(b)]), 90).all()

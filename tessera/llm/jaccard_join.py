@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +43,8 @@ MEASURED = 16
 PAIRS, PAIRS_EACH, PROGRESS, ROUNDS = 100_000, 0.2, 0.7, 4
 #: Leaders of a key in a round; keys with no more pairs than that for each member wait for the end.
 LEADERS = 8
-#: Members of a key in a block.
-BLOCK = 2048
+#: Members beyond which a key is compared in blocks of BLOCK.
+LARGE, BLOCK = 256, 2048
 
 
 def shingles(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -95,8 +96,8 @@ def _frequent(documents: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    """A set's shingles in a map of 2 to 4 bits for each; longer sets have longer maps, whose sizes are powers of two."""
-    bits = max(256, 2 << int(len(found)).bit_length())
+    """A set's shingles in a map of 8 to 16 bits for each; longer sets have longer maps, whose sizes are powers of two."""
+    bits = max(256, 8 << int(len(found)).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(found & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -196,17 +197,39 @@ def links(sets: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFram
         labels = components(_union(found))
         named = stored(keyed.join(labels, keyed["rep"] == labels["node"], "left").select("rep", "n", "pos", "list", "key", F.coalesce("component", "rep").alias("c")))
     # What is left is compared whole, but for members of a key's largest component, which meet members of others alone. So what is looked at
-    # stays within a few times the pairs of different components. A key's members are dealt in blocks, which the others go to.
-    size = held.select(*on, "most", F.ceil(F.col("k") / BLOCK).alias("blocks"), F.col("k").alias("rows"))
-    named = salted(named, size, on, "rows", sent).select(*on, "blocks", (F.col("c") != F.col("most")).alias("m"), "rep", "n", "pos", "c")
-    x, y = (named.select(*on, "blocks", *[F.col(o).alias(o[0] + z) for o in ("m", "rep", "n", "pos", "c")]) for z in "ab")
-    x = x.where("ma").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
-    y = y.withColumn("block", F.pmod(F.xxhash64("rb"), F.col("blocks"))).drop("blocks")
-    rest = x.join(y, [*on, "block"]).where((~F.col("mb") | (F.col("ra") < F.col("rb"))) & (F.col("ca") != F.col("cb")) & fits("na", "pa", "nb", "pb"))
-    pairs = rest.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    # stays within a few times the pairs of different components. A large key's members are dealt in blocks, which the others go to, and
+    # give the pairs that pass the bitmaps alone.
+    size = held.select(*on, "most", "k", F.col("k").alias("rows"))
+    named = salted(named, size, on, "rows", sent).withColumn("minor", F.col("c") != F.col("most")).drop("most")
+    large = F.col("k") > LARGE
+    x, y = (named.where(~large).select(*on, *[F.col(o).alias(o[0] + z) for o in ("minor", "rep", "n", "pos", "c")]) for z in "ab")
+    rest = x.where("ma").join(y, on).where((~F.col("mb") | (F.col("ra") < F.col("rb"))) & (F.col("ca") != F.col("cb")) & fits("na", "pa", "nb", "pb"))
+    members = named.where(large).join(maps.select("rep", "bits"), "rep").withColumn("blocks", F.ceil(F.col("k") / BLOCK))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    asking = members.where("minor").withColumns({"asks": F.lit(True), "block": F.explode(every)})
+    dealt = asking.unionByName(members.withColumns({"asks": F.lit(False), "block": F.pmod(F.xxhash64("rep"), F.col("blocks"))}))
+    near = dealt.groupBy(*on, "block").applyInPandas(lambda pdf: block_pairs(pdf, threshold), "a long, b long")
+    pairs = rest.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).unionByName(near)
     return _union([*found, verify(pairs.distinct(), maps, texts, k, threshold)])
 
 
+def block_pairs(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """Pairs of an asking row and another that differ in component and can link by size, place and bitmap."""
+    x, y = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+    b, nb, ib, cb = (y[c].to_numpy()[None, :] for c in ("rep", "n", "pos", "c"))
+    xs, ys, out, step = x["bits"].tolist(), y["bits"].tolist(), [np.zeros((0, 2), np.int64)], max(1, (1 << 20) // max(1, len(y)))
+    for at in range(0, len(x), step):
+        a, na, ia, ca = (x[c].to_numpy()[at : at + step, None] for c in ("rep", "n", "pos", "c"))
+        overlap = -(-(na + nb) * threshold // (100 + threshold))
+        i, j = np.nonzero((ca != cb) & (100 * np.minimum(na, nb) >= threshold * np.maximum(na, nb)) & (na - ia >= overlap) & (nb - ib >= overlap))
+        for k in range(0, len(i), 1 << 14):
+            p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            ok = may_link([xs[at + u] for u in p], [ys[v] for v in q], na[p, 0], nb[0, q], threshold)
+            u, v = a[p[ok], 0], b[0, q[ok]]
+            out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
+    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+
+
 def _lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 

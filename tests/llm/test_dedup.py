@@ -105,6 +105,7 @@ def test_join_is_brute_force(docs, rows, monkeypatch, k, threshold, pairs):
         monkeypatch.setattr(jaccard_join, "PAIRS_EACH", 0)
         monkeypatch.setattr(jaccard_join, "LEADERS", 1)
         monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+        monkeypatch.setattr(jaccard_join, "LARGE", 4)
     got = Counter(tuple(r) for r in jaccard_join.similar(docs, k, threshold).collect())
     assert got == brute_components(rows, k, threshold)
 

@@ -50,11 +50,41 @@ def test_recall_against_brute_force(spark, monkeypatch):
 def test_odd_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (8, []), (None, [1.0, 1.0]), (1, [1.0, 1.0]), (40, [0.0, 0.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, v int")
-    got = [tuple(r) for r in neighbours.nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
+    got = [tuple(r)[:4] for r in neighbours.nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 20, 0.0), (20, 1, 1, 1.0), (20, 2, 1, 1.0), (20, 3, 0, 0.0)]
     assert neighbours.nearest(df.where("false"), df.where("false")).count() == 0
 
 
+def test_each_query_row_leaves_out_itself_alone(spark):
+    """Repeated query rows, other rows of a query's id, and vectors whose squares overflow."""
+    x = vectors(60, seed=3)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [rows[20], rows[20], (40, rows[5][1]), (7, [v * 1e160 for v in rows[7][1]]), (80, [v * -1e160 for v in rows[9][1]]), (8, [v * 1e-170 for v in rows[8][1]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    with np.errstate(over="ignore"):
+        for n, (i, v) in enumerate(rows):
+            if i % 20 == 0:
+                near = sorted((-float(np.array(y) @ np.array(v)), j) for m, (j, y) in enumerate(rows) if m != n)[:20]
+                want += [(i, rank, j, -s) for rank, (s, j) in enumerate(near, 1)]
+    got = [tuple(r)[:4] for r in neighbours.nearest(df, df.where("vec_id % 20 = 0")).collect()]
+    key = lambda r: (r[0], r[1], r[2])
+    assert [key(r) for r in sorted(got)] == [key(r) for r in sorted(want)]
+    assert all(a[3] == pytest.approx(b[3]) for a, b in zip(sorted(got), sorted(want), strict=True))
+
+
+def test_clusters_visit_few_boxes(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 150)
+    rng = np.random.default_rng(1)
+    x = 30 * rng.normal(size=(40, 16))[np.arange(2400) % 40] + rng.normal(size=(2400, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.where("vec_id % 20 = 0")).collect()
+    hit = sum(r["score"] >= np.sort(np.delete(x @ x[r["query_id"]], r["query_id"]))[-20] - 1e-9 for r in got)
+    assert len(got) == 20 * 120 and hit / len(got) >= 0.9
+    assert np.mean([r["n_verified"] for r in got]) < 0.25 * 2400
+
+
 # --- language
 
 

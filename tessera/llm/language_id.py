@@ -1,9 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a segment (a word, or a part of a very long one) byte by byte in both directions and gives every position probabilities
-of the languages; a document's probabilities are the mean over all positions of its whole text. Segments are read on their own, so a
-segment's result is the same wherever it stands, and tasks keep results of segments in a memo of bounded size. Training is
-backpropagation through time in numpy, on the driver, on a bounded sample of the documents outside the held-out fold.
+The network reads a segment (a word, however long) byte by byte in both directions and gives every position probabilities of the
+languages; a document's probabilities are the mean over all positions of its whole text. Segments are read on their own, so a segment's
+result is the same wherever it stands, and tasks keep results of segments in a memo of bounded size. Training is backpropagation through
+time in numpy, on the driver: from the whole texts of about SAMPLE documents of each language outside the held-out fold, whose words are
+counted in Spark. The driver gets at most WORDS of them, and draws SEGMENTS for each pass of the training; backpropagation is truncated
+after TRUNCATED bytes.
 
 Defined results: null texts and texts without a letter are `und` with score 0; so is every text if no document can be learned from.
 Null ids and repeated rows pass through, one output row per input row. Other columns are ignored.
@@ -21,20 +23,30 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 
-#: Documents of each language in the training sample, and characters of each.
-SAMPLE, SAMPLE_CHARS = 400, 4000
-#: Segments learned from, units in each direction, embedding size, bytes in a segment.
-SEGMENTS, HIDDEN, EMBED, BYTES = 24_000, 24, 16, 24
-MEMO = 400_000
+#: Documents of each language in the training sample, distinct words of them that the driver gets at most, and segments drawn from those.
+SAMPLE, WORDS, SEGMENTS = 400, 200_000, 24_000
+#: Units in each direction, embedding size, bytes through which training goes back, bytes of a segment whose states are held at once.
+HIDDEN, EMBED, TRUNCATED, HELD = 24, 16, 64, 4096
+#: Segments in the memo, and the longest that it takes.
+MEMO, MEMO_BYTES = 400_000, 256
 #: ASCII punctuation and digits carry no language; they part segments like white space.
 PARTS = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
 
 def segments(text: str) -> list[bytes]:
-    words = text.lower().encode().translate(PARTS).split()
-    if all(len(w) <= BYTES for w in words):
-        return words
-    return [w[i : i + BYTES] for w in words for i in range(0, len(w), BYTES)]
+    return text.lower().encode().translate(PARTS).split()
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """A word in parts of at most TRUNCATED bytes, none of which ends within a character."""
+    out, at = [], 0
+    while at < len(word):
+        end = min(len(word), at + TRUNCATED)
+        while end < len(word) and word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return out
 
 
 def padded(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +84,14 @@ class Direction:
             states[:, t] = s
         return states, kept
 
+    def given(self) -> np.ndarray:
+        return self.p["E"] @ self.p["W"] + self.p["b"]
+
+    def step(self, given: np.ndarray, s: np.ndarray) -> np.ndarray:
+        h = s.shape[1]
+        g = sigmoid(given[:, : 2 * h] + s @ self.p["U"])
+        return g[:, :h] * s + (1 - g[:, :h]) * np.tanh(given[:, 2 * h :] + (g[:, h:] * s) @ self.p["V"])
+
     def backward(self, x: np.ndarray, kept: list, above: np.ndarray) -> dict:
         p, h = self.p, self.p["V"].shape[0]
         d = {k: np.zeros_like(v) for k, v in p.items()}
@@ -120,11 +140,44 @@ class Network:
     def pooled(self, found: list[bytes]) -> np.ndarray:
         """Per segment the sum of its positions' probabilities."""
         out = np.zeros((len(found), len(self.langs)), np.float32)
-        order = sorted(range(len(found)), key=lambda i: len(found[i]))
-        for at in range(0, len(order), 2048):
-            some = order[at : at + 2048]
-            x, *_, p, _, _ = self.positions([found[i] for i in some])
-            out[some] = (p * (x > 0)[:, :, None]).sum(1)
+        order, at = sorted(range(len(found)), key=lambda i: len(found[i])), 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and end - at < 2048 and (end - at) * len(found[order[end]]) < 1 << 20:
+                end += 1
+            out[order[at:end]] = self.sums([found[i] for i in order[at:end]])
+            at = end
+        return out
+
+    def sums(self, found: list[bytes]) -> np.ndarray:
+        """The same for segments of like length. The right-to-left states are made first, and kept where a block of HELD bytes ends; each
+        block then makes them again while it is read from the left, so that a segment of any length takes bounded memory."""
+        x, _ = padded(found)
+        n, (b, t), (left, right) = (x > 0).sum(1), x.shape, self.ways
+        given_l, given_r, kept = left.given(), right.given(), {}
+
+        def back(i: int, s: np.ndarray) -> np.ndarray:
+            return np.where((i < n)[:, None], right.step(given_r[x[:, i]], s), 0)
+
+        s = np.zeros((b, HIDDEN), np.float32)
+        for i in range(t - 1, -1, -1):
+            if (i + 1) % HELD == 0 or i == t - 1:
+                kept[i // HELD] = s
+            if i < HELD:
+                break
+            s = back(i, s)
+        out, f = np.zeros((b, len(self.langs)), np.float32), np.zeros((b, HIDDEN), np.float32)
+        for block in range(-(-t // HELD)):
+            first, s = block * HELD, kept[block]
+            states = np.zeros((min(t - first, HELD), b, 2 * HIDDEN), np.float32)
+            for i in range(len(states) - 1, -1, -1):
+                states[i, :, HIDDEN:] = s = back(first + i, s)
+            for i in range(len(states)):
+                states[i, :, :HIDDEN] = f = left.step(given_l[x[:, first + i]], f)
+            logits = states @ self.out["O"] + self.out["o"]
+            e = np.exp(logits - logits.max(2, keepdims=True))
+            on = (np.arange(first, first + len(states))[:, None] < n)[:, :, None]
+            out += (e / e.sum(2, keepdims=True) * on).sum(0)
         return out
 
     def train(self, found: list[bytes], langs: np.ndarray, epochs: int = 6, size: int = 256, rate: float = 0.01) -> None:
@@ -156,29 +209,31 @@ class Network:
 
 
 def learn(documents: DataFrame) -> Network | None:
-    """A network from a sample of about SAMPLE documents of each language outside the held-out fold. The sample follows from the ids."""
-    known = documents.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    langs = sorted(counts)
-    part = F.lit(0.0)
-    for lang, n in counts.items():
-        part = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE / n))).otherwise(part)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 20)) < part * (1 << 20))
-    rows = drawn.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
-    seen = Counter()
-    for r in sorted(rows, key=lambda r: (r["lang"], r["text"])):
-        seen.update((w, langs.index(r["lang"])) for w in segments(r["text"]))
-    if not seen:
+    """A network from about SAMPLE documents of each language outside the held-out fold. The sample follows from ids and texts."""
+    docs = documents.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text").alias("_text"))
+    known = docs.where(~held_out(F.col("_id")) & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
+    part = known.groupBy("_lang").agg(F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.count("*")).alias("_part"))
+    drawn = known.join(part, "_lang").where(F.pmod(F.xxhash64("_id", "_text", F.lit("lang")), F.lit(1 << 20)) < F.col("_part") * (1 << 20))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                seen = Counter(p for w in segments(text.as_py()) for p in pieces(w))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["lang", "w", "n"])
+
+    counts = drawn.select("_lang", "_text").mapInArrow(count, "lang string, w binary, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
+    # Where there are more words than the driver takes, frequent ones are likelier to be among them.
+    chance = -F.log((F.pmod(F.xxhash64("lang", "w"), F.lit(1 << 30)) + 1) / float(1 << 30)) / F.sqrt("n")
+    rows = sorted((r["w"], r["lang"], r["n"]) for r in counts.orderBy(chance, "lang", "w").limit(WORDS).collect())
+    if not rows:
         return None
-    pairs = sorted(seen)
-    share = np.sqrt([seen[k] for k in pairs])  # frequent words count, but not all at once
-    each = np.bincount([k for _, k in pairs], weights=share, minlength=len(langs))
-    share /= each[[k for _, k in pairs]]
-    drawn_ = np.random.default_rng(3).choice(len(pairs), SEGMENTS, p=share / share.sum())
+    langs = sorted({lang for _, lang, _ in rows})
+    place = np.array([langs.index(lang) for _, lang, _ in rows])
+    share = np.sqrt([n for *_, n in rows])  # frequent words count, but not all at once
+    share /= np.bincount(place, weights=share)[place]
+    drawn_ = np.random.default_rng(3).choice(len(rows), SEGMENTS, p=share / share.sum())
     net = Network(langs)
-    net.train([pairs[i][0] for i in drawn_], np.array([pairs[i][1] for i in drawn_]))
+    net.train([bytes(rows[i][0]) for i in drawn_], place[drawn_])
     return net
 
 
@@ -200,17 +255,19 @@ def identify(documents: DataFrame, net: Network | None) -> DataFrame:
                         chunk.append((at, segments(t)))
                         size += len(t)
                     at += 1
-                if len(memo) > MEMO:
+                if len(sums) > MEMO:
                     memo, sums = {}, sums[:0]
                 fresh = list(dict.fromkeys(w for _, ws in chunk for w in ws if w not in memo))
                 if fresh:
-                    memo.update(zip(fresh, range(len(memo), len(memo) + len(fresh)), strict=True))
+                    memo.update(zip(fresh, range(len(sums), len(sums) + len(fresh)), strict=True))
                     sums = np.concatenate([sums, net.pooled(fresh)])
                 for i, ws in chunk:
                     if ws:
                         p = sums[np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))].sum(0, dtype=np.float64)
                         best = int(p.argmax())
                         langs[i], scores[i] = net.langs[best], float(p[best] / p.sum())
+                for w in [w for w in fresh if len(w) > MEMO_BYTES]:  # long words hardly come again
+                    del memo[w]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -5,8 +5,9 @@ suffixes); transitions have weights of their own. Forward-backward gives each wo
 score is a logistic function of the sum of squared marginals, a count of toxic words to which doubtful ones add little, and spans are runs of words above one half.
 
 The labels are of documents, so tokens are labelled first: a word in a toxic document is a toxic token if documents with one of its
-features are toxic far more often than others, over the labelled documents outside the held-out fold. The field is then trained in numpy
-on the driver, on a bounded sample of those documents.
+features are toxic far more often than others, over the labelled documents outside the held-out fold. Of these a sample of about SAMPLE
+rows of each label is learned from, with their whole texts: sketches, features and scores are made and counted in Spark, and the driver,
+which trains the field in numpy, gets a sketch a row, the features that mark toxic tokens, and LINES stretches of at most STRETCH words.
 
 Defined results: null and empty texts get the score of no toxic words; without labelled rows every score is 0. Null ids and repeated rows
 pass through, one output row per input row. Columns beside doc_id and text are ignored.
@@ -24,15 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, stored, table
 
-#: Labelled documents learned from, for each label, and characters of each.
-SAMPLE, SAMPLE_CHARS = 1500, 20_000
-#: Weights, training lines, passes; lengths of prefixes and suffixes.
-WEIGHTS, LINES, EPOCHS, AFFIXES = 1 << 18, 6000, 8, (5, 6, 7)
+#: Labelled documents learned from, for each label.
+SAMPLE = 1500
+#: Weights, training stretches and their longest, passes; lengths of prefixes and suffixes.
+WEIGHTS, LINES, STRETCH, EPOCHS, AFFIXES = 1 << 18, 6000, 256, 8, (5, 6, 7)
 #: A feature marks toxic tokens if toxic documents are such a share of those that have it, both labels weighing the same, and if this is
-#: beyond chance: so many nats of evidence.
-SHARE, EVIDENCE = 0.9, 15.0
+#: beyond chance: so many nats of evidence, or such a share of what a feature of all toxic documents and no other would have, if less. If
+#: none does, the feature with most evidence marks them. The driver takes at most MARKS features.
+SHARE, EVIDENCE, PERFECT, MARKS = 0.9, 15.0, 0.4, 50_000
 SKETCH = 48
 MEMO = 400_000
 WORDS = re.compile(r"[^\W\d_]+")
@@ -177,63 +179,92 @@ class Field:
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> Field | None:
-    """A field from at most about SAMPLE labelled documents of each label outside the held-out fold; the sample follows from the ids."""
-    marks = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), "toxic")
-    counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    """A field from at most about SAMPLE labelled documents of each label outside the held-out fold; the sample follows from the ids.
+
+    None if one label is missing."""
+    marks = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
+    counts = {r["_toxic"]: r["count"] for r in marks.groupBy("_toxic").count().collect()}
     if len(counts) < 2:
         return None
-    part = F.when(F.col("toxic") == 1, F.lit(min(1.0, SAMPLE / counts[1]))).otherwise(F.lit(min(1.0, SAMPLE / counts[0])))
-    drawn = marks.where(F.pmod(F.xxhash64("_id", F.lit("toxic")), F.lit(1 << 20)) < part * (1 << 20))
-    kept = documents.where(F.col("text").isNotNull()).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))  # bounded: about 2 * SAMPLE ids
-    return fit([(r["text"], r["toxic"]) for r in kept.select("toxic", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()])
+    part = F.when(F.col("_toxic") == 1, F.lit(min(1.0, SAMPLE / counts[1]))).otherwise(F.lit(min(1.0, SAMPLE / counts[0])))
+    drawn = marks.where(F.pmod(F.xxhash64("_id", F.lit("toxic")), F.lit(1 << 20)) < part * (1 << 20)).distinct()
+    docs = documents.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).where("_text is not null")
+    kept = docs.join(F.broadcast(drawn), F.col("_doc") == F.col("_id"))  # bounded: about 2 * SAMPLE ids
+    return fit(stored(kept.select(F.xxhash64("_text").alias("key"), F.col("_toxic").alias("toxic"), F.col("_text").alias("text")).dropDuplicates(["key", "toxic"])))
+
+
+def sketch(text: str) -> list[int]:
+    """The SKETCH smallest 4-word hashes of a text."""
+    words = WORDS.findall(text.lower())
+    return sorted({zlib.crc32(" ".join(words[k : k + 4]).encode()) for k in range(max(1, len(words) - 3))})[:SKETCH]
 
 
-def distinct(texts: list[str]) -> list[int]:
-    """Places of the texts without later near copies, which would count as evidence of their own: texts that share a sixth of their
-    SKETCH smallest 4-word hashes with one kept before."""
+def distinct(sketches: list[list[int]]) -> list[int]:
+    """Places of the sketches without later near copies, which would count as evidence of their own: those that share a sixth with one
+    kept before."""
     kept, seen = [], {}
-    for i, t in enumerate(texts):
-        words = WORDS.findall(t.lower())
-        sketch = sorted({zlib.crc32(" ".join(words[k : k + 4]).encode()) for k in range(max(1, len(words) - 3))})[:SKETCH]
-        same = Counter(j for h in sketch for j in seen.get(h, ()))
-        if not same or max(same.values()) * 6 < len(sketch):
+    for i, found in enumerate(sketches):
+        same = Counter(j for h in found for j in seen.get(h, ()))
+        if not same or max(same.values()) * 6 < len(found):
             kept.append(i)
-            for h in sketch:
+            for h in found:
                 seen.setdefault(h, []).append(i)
     return kept
 
 
-def fit(rows: list[tuple[str, int]]) -> Field | None:
-    """A field from (text, label) rows in any order."""
-    rows = sorted(rows, key=lambda r: (r[1], r[0]))
-    rows = [rows[i] for i in distinct([t for t, _ in rows])]
-    texts, y = [chains(t) for t, _ in rows], [label for _, label in rows]
-    if len(set(y)) < 2:
+def per_text(rows: DataFrame, of, schema: str) -> DataFrame:
+    """key, toxic and what ``of`` makes of each text, a row for each of its results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                found = of(text.as_py(), toxic)
+                kinds = [pa.int64(), pa.int32(), *[f.type for f in wanted]]
+                cols = [[key] * len(found), [toxic] * len(found), *(zip(*found, strict=True) if found else [[]] * len(wanted))]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["key", "toxic", *[f.name for f in wanted]])
+
+    names = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    kind = lambda t: pa.list_(names[t[6:-1]]) if t.startswith("array") else names[t]
+    wanted = [pa.field(n, kind(t)) for n, t in (c.strip().split(" ") for c in schema.split(","))]
+    return rows.select("key", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, f"key long, toxic int, {schema}")
+
+
+def stretches(text: str, toxic: int, marked: set[str]) -> list[tuple]:
+    """The lines of a text in stretches of at most STRETCH words: (words, whether each is a toxic token, whether any is)."""
+    memo: dict[str, bool] = {}
+    for ws in chains(text):
+        for x in ws:
+            if x not in memo:
+                memo[x] = bool(toxic) and any(f in marked for f in features(x))
+    parts = [ws[i : i + STRETCH] for ws in chains(text) for i in range(0, len(ws), STRETCH)]
+    return [(ws, y, any(y)) for ws in parts for y in [[memo[x] for x in ws]]]
+
+
+def fit(rows: DataFrame) -> Field | None:
+    """A field from (key, toxic, text) rows, a table of bounded length."""
+    sketches = sorted((r["toxic"], r["key"], r["sketch"]) for r in per_text(rows, lambda t, _: [(sketch(t),)], "sketch array<long>").collect())
+    kept = [sketches[i][:2] for i in distinct([s for *_, s in sketches])]
+    n, n_toxic = len(kept), sum(y for y, _ in kept)
+    if not 0 < n_toxic < n:
         return None
-    seen = {0: Counter(), 1: Counter()}
-    memo: dict = {}
-    for lines, label in zip(texts, y, strict=True):
-        words = {x for ws in lines for x in ws}
-        seen[label].update({f for x in words for f in memo.setdefault(x, features(x))})
-    part = sum(y) / len(y)
-
-    def evidence(f: str) -> float:
-        k, m = seen[1][f], seen[0][f]
-        return k * np.log(k / ((k + m) * part)) + (m * np.log(m / ((k + m) * (1 - part))) if m else 0.0)
-
-    marked = {f for f, k in seen[1].items() if k * (1 - part) > SHARE * (k * (1 - part) + seen[0][f] * part) and evidence(f) > EVIDENCE}
-    toxic_word = {x: any(f in marked for f in fs) for x, fs in memo.items()}
-    data = [(ws, [label == 1 and toxic_word[x] for x in ws]) for lines, label in zip(texts, y, strict=True) for ws in lines]
-    rng = np.random.default_rng(9)
-    with_, without = [d for d in data if any(d[1])], [d for d in data if not any(d[1])]
-    if not with_:
+    part = n_toxic / n
+    rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(kept, "toxic int, key long")), ["toxic", "key"])
+    own = lambda t, _: [(f,) for f in sorted({f for x in {x for ws in chains(t) for x in ws} for f in features(x)})]
+    k, m = F.sum("toxic"), F.sum(1 - F.col("toxic"))
+    seen = per_text(rows, own, "feature string").groupBy("feature").agg(k.alias("k"), m.alias("m")).where(f"k * {1 - part} > {SHARE} * (k * {1 - part} + m * {part})")
+    evidence = F.col("k") * F.log(F.col("k") / ((F.col("k") + F.col("m")) * part)) + F.when(F.col("m") > 0, F.col("m") * F.log(F.col("m") / ((F.col("k") + F.col("m")) * (1 - part)))).otherwise(0)
+    found = [(r["feature"], r["e"]) for r in seen.withColumn("e", evidence).orderBy(F.desc("e"), "feature").limit(MARKS).collect()]
+    least = min(EVIDENCE, PERFECT * n_toxic * float(np.log(1 / part)))
+    marked = {f for f, e in found if e > least} or {f for f, e in found if e == found[0][1]}
+    if not marked:
         return None
-    half = [[group[i] for i in rng.permutation(len(group))[: LINES // 2]] for group in (with_, without)]
-    used = half[0] + half[1]
+    lines = stored(per_text(rows, lambda t, y: stretches(t, y, marked), "words array<string>, labels array<boolean>, any boolean"))
+    some = [lines.where(F.col("any") == x).select("words", "labels").orderBy(F.xxhash64("words", "key"), "words").limit(LINES // 2).collect() for x in (True, False)]
+    used = sorted((r["words"], r["labels"]) for half in some for r in half)
     field = Field()
-    field.train([d[0] for d in used], [d[1] for d in used])
-    x = np.log1p(8 * np.array([field.expected(t) for t, _ in rows]))
-    z, c = np.array(y, float), np.array([-2.0, 2.0])
+    field.train([ws for ws, _ in used], [y for _, y in used])
+    sums = sorted((r["toxic"], r["x"]) for r in per_text(rows, lambda t, _: [(field.expected(t),)], "x double").collect())
+    x, z, c = np.log1p(8 * np.array([s for _, s in sums])), np.array([y for y, _ in sums], float), np.array([-2.0, 2.0])
     for _ in range(60):  # Newton steps of a logistic fit, held back by a small prior
         p = 1 / (1 + np.exp(-np.clip(c[0] + c[1] * x, -30, 30)))
         v = p * (1 - p) + 1e-9

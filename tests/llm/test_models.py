@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import language_id, neighbours, toxicity
 
@@ -115,6 +116,34 @@ def test_language_accuracy_on_the_held_out_fold(spark):
     assert [r["lang_pred"] for r in language_id.identify(df.limit(2), None).collect()] == ["und", "und"]
 
 
+def test_pooled_sums_are_those_of_all_positions(monkeypatch):
+    monkeypatch.setattr(language_id, "HELD", 7)
+    net, rng = language_id.Network(["a", "b", "c"], seed=2), random.Random(2)
+    found = [bytes(rng.randrange(97, 200) for _ in range(n)) for n in (1, 2, 6, 7, 8, 13, 14, 15, 50, 50, 51)]
+    p = net.positions(found)[5]
+    assert np.allclose(net.pooled(found), [p[i, : len(w)].sum(0) for i, w in enumerate(found)], atol=1e-4)
+    word = "日本語é".encode() * 40
+    assert b"".join(language_id.pieces(word)) == word and all(x.decode() and len(x) <= language_id.TRUNCATED for x in language_id.pieces(word))
+
+
+def test_long_texts_and_empty_tables(spark):
+    """One word of 60,000 bytes, many words, and tables without rows, with columns whose names clash."""
+    data = corpus(120)
+    long = [(900, "der" * 20_000, "de"), (903, "que eau " * 30_000, "fr")]
+    df = spark.createDataFrame([(*r, "x", 1, 0.5) for r in data + long], "doc_id long, text string, lang string, _id string, toxic int, score double")
+    net = language_id.learn(df)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, net).collect()}
+    assert got[900] == "de" and got[903] == "fr"
+    none = df.where("false")
+    assert language_id.learn(none) is None and language_id.identify(none, net).count() == 0
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), "t") for i, *_ in data], "doc_id long, toxic int, text string")
+    bad = df.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.lit("fine words here "), 4000), F.lit("vilefoo nastyqux"))).otherwise(F.col("text")))
+    field = toxicity.learn(bad, labels)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(bad, field).collect()}
+    assert np.mean([(scores[i] > 0.5) == (i % 3 == 0) for i, *_ in data]) > 0.95  # the passage lies behind 60,000 characters
+    assert toxicity.score(none, field).count() == 0 and toxicity.learn(none, labels) is None
+
+
 def test_gradient_of_the_network():
     net = language_id.Network(["a", "b"], seed=1)
     for way in net.ways:

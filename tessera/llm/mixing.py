@@ -29,7 +29,7 @@ MOST = 3
 #: Documents in a block of the first level, and blocks whose leftovers meet in one of the next.
 BLOCK, JOIN = 2000, 512
 #: Documents that the landing decides, with at most two more; and what a document too many costs there, in mean sizes.
-LANDING, COUNT_COST = 11, 0.02
+LANDING, COUNT_COST = 10, 0.02
 #: Below this distance from 0 or 1 a probability counts as landed.
 NEAR = 1e-9
 
@@ -52,11 +52,33 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS) -> list[float]
     return out
 
 
+def landed(pi: np.ndarray, size: np.ndarray, dice: float) -> np.ndarray:
+    """An outcome of a few open documents, each taken with its probability pi, drawn from a distribution on outcomes near both sums.
+
+    The distribution is made one outcome at a time: of those possible the nearest gets as much weight as the probabilities left allow. That
+    closes at least one document for the outcomes after it, so there are at most one more than documents."""
+    n = len(pi)
+    ways = ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1).astype(float)
+    cost = np.abs((ways - pi) @ size) + COUNT_COST * size.mean() * np.abs((ways - pi).sum(1))
+    left, rest, way = pi.astype(float), 1.0, ways[0]
+    while rest > NEAR:
+        # With weight rest still to give and taken ones left to give: an outcome takes from left, or from rest - left.
+        able = ((ways == 0) | (left > NEAR)).all(1) & ((ways == 1) | (rest - left > NEAR)).all(1)
+        if not able.any():
+            break
+        way = ways[np.flatnonzero(able)[cost[able].argmin()]]
+        weight = min(np.where(way == 1, left, rest - left).min(), rest)
+        if dice < weight:
+            break
+        dice, left, rest = dice - weight, left - weight * way, rest - weight
+    return way
+
+
 def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
     """Moves pi until at most two entries are open (none if land), keeping sum(pi) and sum(pi * size). Expected values stay pi.
 
-    Three open documents have a direction that changes neither sum; a step along it closes one of them. Landing takes the last LANDING
-    documents and those left open, and of all their outcomes the one that comes nearest to both sums."""
+    Three open documents have a direction that changes neither sum; a step along it closes one of them. The LANDING smallest documents stay
+    out of the flight if it lands; they and those it leaves open are landed, which keeps the sums nearly and the expected values."""
     pi, held = [float(x) for x in pi], []
     size = [float(x) for x in size]
     dice = iter(rng.random(2 * len(pi) + 8))
@@ -71,19 +93,16 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: boo
         return [k for k in ks if 0 < pi[k] < 1]
 
     inner = [k for k in range(len(pi)) if 0 < pi[k] < 1]
-    landing = inner[-LANDING:] if land else []
-    for k in inner[: len(inner) - len(landing)]:
+    landing = sorted(inner, key=lambda k: size[k])[:LANDING] if land else []
+    late = set(landing)
+    for k in (k for k in inner if k not in late):
         held.append(k)
         while len(held) == 3:
             a, b, c = (size[i] for i in held)
             u = (c - b, a - c, b - a)
             held = step(held, u if any(u) else (1.0, -1.0, 0.0))
     if landing := held + landing if land else []:
-        due, sizes = np.array([pi[k] for k in landing]), np.array([size[k] for k in landing])
-        ways = (np.arange(1 << len(landing))[:, None] >> np.arange(len(landing))) & 1
-        cost = np.abs((ways - due) @ sizes) + COUNT_COST * sizes.mean() * np.abs((ways - due).sum(1))
-        near = np.flatnonzero(cost <= cost.min() + NEAR)
-        for k, x in zip(landing, ways[near[int(next(dice) * len(near))]], strict=True):
+        for k, x in zip(landing, landed(np.array([pi[k] for k in landing]), np.array([size[k] for k in landing]), next(dice)), strict=True):
             pi[k] = float(x)
     return np.array(pi)
 
@@ -98,11 +117,11 @@ def block_of(level: int, last: bool) -> Callable:
     return fly
 
 
-def sampled(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, source, h (hash of the text), size, source_size, target, copies: a row per row of documents.
+def sampled(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, by: tuple[str, ...] = ("text",)) -> DataFrame:
+    """doc_id, source, h (hash of the columns ``by``), size, source_size, target, copies: a row per row of documents.
 
     One pass over the texts; its narrow result is kept in the shared folder. The driver gets a row per source."""
-    sized = stored(documents.select("doc_id", "source", F.xxhash64("text").alias("h"), n_words(F.col("text")).alias("size")))
+    sized = stored(documents.select("doc_id", "source", F.xxhash64(*[F.col(f"`{c}`") for c in by]).alias("h"), n_words(F.col("text")).alias("size")))
     per = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     per.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     due = targets([r["size"] for r in per], weights)
@@ -141,11 +160,12 @@ def sampled(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFra
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The mix itself: each row of documents as often as it is taken, with all its columns.
 
-    Rows equal in doc_id, source and text are one unit that gets the copies of all of them."""
-    unit = F.struct(F.col("doc_id"), F.col("source"), F.xxhash64("text").alias("h")).alias("_unit")
+    Rows equal in all columns that can be hashed (all but maps) are one unit that gets the copies of all of them."""
+    by = tuple(f.name for f in documents.schema if "map<" not in f.dataType.simpleString())
+    unit = F.struct(F.col("doc_id"), F.col("source"), F.xxhash64(*[F.col(f"`{c}`") for c in by]).alias("h")).alias("_unit")
     own = [F.col(f"`{c}`") for c in documents.columns]
     rows = documents.select(unit, F.struct(*own).alias("_row")).dropDuplicates(["_unit"])
-    copies = sampled(documents, weights).groupBy(F.struct("doc_id", "source", "h").alias("_unit")).agg(F.sum("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("_unit", "_taken")
+    copies = sampled(documents, weights, by).groupBy(F.struct("doc_id", "source", "h").alias("_unit")).agg(F.sum("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("_unit", "_taken")
     joined = rows.join(copies, rows["_unit"].eqNullSafe(copies["_taken"]))
     return joined.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_n")).select(*[F.col("_row").getField(c).alias(c) for c in documents.columns])
 

@@ -27,8 +27,8 @@ from .common import table
 from .token_counts import vocabulary
 
 LENGTH = 1024
-#: Most segments in a sequence.
-SEGMENTS = 128
+#: Most segments and loss-bearing tokens in a sequence of instruction data. Documents have no such limits: all their tokens bear loss.
+SEGMENTS, LOSS = 16, 512
 #: Waiting examples: bins are made when there are so many, until half are left.
 POOL = 1024
 #: The id that ends each document.
@@ -124,7 +124,7 @@ def byte_bpe(tokens: dict[bytes, int], pattern: str, special: dict[str, int] | N
 DOCUMENT_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(documents: DataFrame, tokens: dict[bytes, int], pattern: str, length: int = LENGTH, segments: int = SEGMENTS, special: dict[str, int] | None = None) -> DataFrame:
+def pack_documents(documents: DataFrame, tokens: dict[bytes, int], pattern: str, length: int = LENGTH, segments: int | None = None, special: dict[str, int] | None = None) -> DataFrame:
     """Packs all of documents, a row per piece. Pieces as long as a sequence stand alone; the rest of each document waits in the pool.
 
     tokens: the vocabulary with its ids, broadcast; its size does not depend on the corpus. special: strings that have an id of their own
@@ -134,7 +134,7 @@ def pack_documents(documents: DataFrame, tokens: dict[bytes, int], pattern: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary_, special_ = shared.value
         encode = byte_bpe(vocabulary_, pattern, special_).encode_to_numpy
-        packer, ids, rows = Packer((length, segments, length), cut=True), numbered(), []
+        packer, ids, rows = Packer((length, segments or length, length), cut=True), numbered(), []
 
         def put(pieces: list) -> None:
             k, at = next(ids), 0
@@ -213,5 +213,30 @@ def op5_vector_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(path), public_tokenizers.PATTERN, special=added_tokens(path))
 
 
-QUERIES = {"op5_vector_packing": op5_vector_packing}
+def conversation_examples(conversations: DataFrame, tokens: dict[bytes, int], pattern: str, special: dict[str, int] | None = None, learned: str = "assistant") -> DataFrame:
+    """id, n_tokens, n_loss_tokens per conversation: every turn has its ids and a closing one, those of the learned role bear loss.
+
+    Null texts count as empty, null roles bear no loss; rows without a conversation are one example."""
+    shared = conversations.sparkSession.sparkContext.broadcast((tokens, special))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = byte_bpe(shared.value[0], pattern, shared.value[1]).encode_to_numpy
+        for b in batches:
+            n = pa.array([len(encode(t.as_py() or "", allowed_special="all")) + 1 for t in b.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], names=["id", "role", "n"])
+
+    turns = conversations.select(F.col("conv_id").cast("long").alias("id"), "role", "text").mapInArrow(count, "id long, role string, n long")
+    return turns.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("role") == learned, F.col("n")).otherwise(0)).alias("n_loss_tokens"))
+
+
+def pack_conversations(spark, sf_dir):
+    """Whole conversations under limits on tokens, segments and loss-bearing tokens: id, sequence_id, place, offset."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    examples = conversation_examples(table(spark, sf_dir, "conversations"), vocabulary(path), public_tokenizers.PATTERN, added_tokens(path))
+    return pack_examples(examples, LENGTH, SEGMENTS, LOSS)
+
+
+QUERIES = {"op5_vector_packing": op5_vector_packing, "pack_conversations": pack_conversations}
 SQL: dict[str, str] = {}

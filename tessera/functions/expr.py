@@ -162,3 +162,11 @@ def url_parts(c: Column) -> Column:
 
 def digest_text(algorithm: str, domain: str, version: int, digest: Column) -> Column:
     return F.concat_ws(":", F.lit(algorithm), F.lit(domain), F.lit(f"v{version}"), F.lower(F.hex(digest)))
+
+
+def digest_parts(c: Column) -> Column:
+    """struct(algorithm, domain, version, bytes) of a digest's text; null where it is not one or its length is not the algorithm's."""
+    part = F.split(c, ":")
+    size = F.when(part[0] == "sha256", 64).when(part[0] == "sha384", 96).when(part[0] == "sha512", 128)
+    sound = c.rlike("^sha(256|384|512):[a-z-]+:v[1-9][0-9]*:[0-9a-f]+$") & (F.length(part[3]) == size)
+    return F.when(sound, F.struct(part[0].alias("algorithm"), part[1].alias("domain"), F.substr(part[2], F.lit(2)).cast("int").alias("version"), F.unhex(part[3]).alias("bytes")))

@@ -84,6 +84,43 @@ def whole_document(df: DataFrame, data: str, config: Config, pins: dict[str, str
     return decode_json(df, data, config, name).withColumn("transport_sha256", F.sha2(F.col(data), 256))
 
 
+def with_legacy_contexts(contexts: dict[str, int], config: Config = Config()) -> Config:
+    """config with an application's own context ids beside those of the legacy table (registry entry 1), before which they go."""
+    from ..kernels.tables import LEGACY, LEGACY_CONTEXTS
+
+    merged = {**LEGACY_CONTEXTS, **contexts}
+    if len(set(merged.values())) < len(merged):
+        raise CodecError("ERR_INVALID_TYPETABLE", "two contexts share an id")
+    return replace(config, tables={**config.tables, 1: {**LEGACY, "context": merged, "url": merged, "none": merged}}, prepared={})
+
+
+LITERAL = "struct<cbor: binary, back: string>"
+
+
+def literals(df: DataFrame, value: str, kind: str, name: str = "literal", tables: dict | None = None) -> DataFrame:
+    """Scalars of one type (``url``, ``none``, or the type's full name): the short form as CBOR, and the text that it gives back."""
+
+    def run(v):
+        from ..kernels.semantic import Session
+        from ..kernels.tables import TypeTable
+
+        session = Session(TypeTable(tables or {}), None)
+        packed = cbor.encode(session.shrink_scalar(v, kind))
+        back = session.grow_scalar(cbor.decode(packed), kind)
+        return {"cbor": packed, "back": back if isinstance(back, str) else cbor.dump_json(back)}
+
+    return with_kernel(df, name, outcome(LITERAL), [value], isolated(run))
+
+
+def observed(df: DataFrame, name: str) -> DataFrame:
+    """Totals over a batch of outcomes: rows, values, failures, bytes in and out, nanoseconds."""
+    at = lambda f: F.col(f"{name}.observation.{f}")
+    return df.agg(
+        F.count("*").alias("n"), F.count(F.col(f"{name}.value")).alias("n_values"), F.count(F.col(f"{name}.failure")).alias("n_failures"),
+        F.sum(at("input_bytes")).alias("input_bytes"), F.sum(at("output_bytes")).alias("output_bytes"), F.sum(at("nanoseconds")).alias("nanoseconds"),
+    )
+
+
 INSPECTION = "struct<format: string, registry_id: bigint, compressed: boolean, byte_count: bigint, payload: string, sha256: binary>"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import CodecError
 from ..functions import expr
-from ..functions.arrow import with_kernel
+from ..functions.arrow import isolated, outcome, with_kernel
 from ..kernels import scan, tables, text
 from ..kernels.cbor import Limits
 from ..kernels.tables import Dictionary
@@ -90,11 +90,11 @@ def _cuts(df: DataFrame, order_by: str) -> list:
 
 def compact(df: DataFrame, data: str, order_by: str, group_by: list[str]) -> DataFrame:
     """Per group the slices joined in order, with the n + 1 boundaries."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order_by).alias("o"), F.octet_length(data).cast("long").alias("n"))))
-    sizes = F.transform(items, lambda x: x["n"])
-    ends = F.transform(F.sequence(F.lit(0), F.size(sizes)), lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
+    n = F.octet_length(data).cast("long")
+    ends = F.sum(n).over(Window.partitionBy(*group_by).orderBy(order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     joined = F.expr(f"listagg({data}, X'') WITHIN GROUP (ORDER BY {order_by})")
-    return df.groupBy(*group_by).agg(joined.alias("bytes"), ends.alias("offsets"))
+    sorted_ends = F.array_sort(F.collect_list(F.coalesce("_end", F.lit(0))))  # ends rise in the order of the slices
+    return df.withColumn("_end", ends).groupBy(*group_by).agg(joined.alias("bytes"), F.concat(F.array(F.lit(0).cast("long")), sorted_ends).alias("offsets"))
 
 
 def unpack(df: DataFrame, data: str = "bytes", offsets: str = "offsets") -> DataFrame:
@@ -159,7 +159,14 @@ MULTIBASE = "struct<decoded: binary, first_error_offset: bigint, message: string
 
 
 def multibase_decode(df: DataFrame, value: str, name: str = "decoded", most: int = 64 << 20) -> DataFrame:
-    return with_kernel(df, name, MULTIBASE, [value], lambda s: None if s is None else dict(zip(("decoded", "first_error_offset", "message"), text.multibase_decode(s, most), strict=True)))
+    """Native for sound ``u`` and ``M`` values; the others go on to the kernel, which says where they fail."""
+    c = F.col(value)
+    native = F.when(F.length(c) <= most, expr.multibase_decode(c))
+    made = F.struct(native.alias("decoded"), F.lit(None).cast("long").alias("first_error_offset"), F.lit(None).cast("string").alias("message"))
+    good = df.where(c.isNull() | native.isNotNull()).withColumn(name, F.when(c.isNotNull(), made))
+    run = lambda s: dict(zip(("decoded", "first_error_offset", "message"), text.multibase_decode(s, most), strict=True))
+    bad = with_kernel(df.where(c.isNotNull() & native.isNull()), name, MULTIBASE, [value], run)
+    return good.select(*df.columns, name).unionByName(bad.select(*df.columns, name))
 
 
 VARINT = "struct<value: decimal(20,0), bytes_consumed: bigint, first_error_offset: bigint, message: string>"
@@ -173,15 +180,23 @@ def varint_encode(df: DataFrame, value: str, name: str = "varint") -> DataFrame:
 
 
 def varint_decode(df: DataFrame, data: str, name: str = "decoded") -> DataFrame:
+    """Native for values that fill their bytes and fit 63 bits; the others go on to the kernel."""
     import decimal
 
+    c = F.col(data)
+    native = expr.varint_value(c)
+    # A last byte of zero says nothing: such values are not in their shortest form, which is the kernel's to judge.
+    short = (F.octet_length(c) == 1) | (F.hex(F.substring(c, -1, 1)) != "00")
+    fine = F.coalesce(native.isNotNull() & short, F.lit(False))
+    made = F.struct(native.cast("decimal(20,0)").alias("value"), F.octet_length(c).cast("long").alias("bytes_consumed"), F.lit(None).cast("long").alias("first_error_offset"), F.lit(None).cast("string").alias("message"))
+    good = df.where(c.isNull() | fine).withColumn(name, F.when(c.isNotNull(), made))
+
     def run(b):
-        if b is None:
-            return None
         value, used, at, message = text.varint_decode(b)
         return {"value": None if value is None else decimal.Decimal(value), "bytes_consumed": used, "first_error_offset": at, "message": message}
 
-    return with_kernel(df, name, VARINT, [data], run)
+    bad = with_kernel(df.where(c.isNotNull() & ~fine), name, VARINT, [data], run)
+    return good.select(*df.columns, name).unionByName(bad.select(*df.columns, name))
 
 
 def dictionary_frame(spark: SparkSession, dictionary: Dictionary) -> DataFrame:
@@ -189,6 +204,17 @@ def dictionary_frame(spark: SparkSession, dictionary: Dictionary) -> DataFrame:
     return spark.createDataFrame(rows, "dict_table string, value_key binary, value string, id long")
 
 
+def pinned_dictionary(spark: SparkSession, dictionary: Dictionary, pin: str | None) -> DataFrame:
+    """A dictionary for probing, held against the fingerprint that it must have."""
+    from .integrity import dictionary_fingerprint
+
+    if pin is None:
+        raise CodecError("ERR_UNPINNED_DICTIONARY", f"dictionary {dictionary.code} has no pin")
+    if dictionary_fingerprint(dictionary.code, dictionary.tables(), dictionary.profile) != pin:
+        raise CodecError("ERR_INTEGRITY_MISMATCH", f"dictionary {dictionary.code} differs from its pin")
+    return dictionary_frame(spark, dictionary)
+
+
 def dictionary_conflicts(entries: DataFrame) -> DataFrame:
     """(dict_table, id, n_values) of ids that stand for more than one value."""
     return entries.groupBy("dict_table", "id").agg(F.countDistinct("value").alias("n_values")).where("n_values > 1")
@@ -228,39 +254,70 @@ FAMILIES = {
 }
 
 
-def contradictions(df: DataFrame, family: str, column: str) -> DataFrame:
-    """Rows whose result contradicts itself: the acceptance test of results that come from elsewhere. Native; keep = audit, raise = strict."""
-    c = F.col(column)
+def acceptance(family: str, c: Column) -> Column:
+    """True where a result of a family contradicts itself; a field that is missing where it must not be is a contradiction."""
+    steps = lambda ends: F.forall(F.sequence(F.lit(1), F.size(ends) - 1), lambda i: F.get(ends, i) >= F.get(ends, i - 1))
     tests = {
-        "batched-sha256": (F.octet_length(c["digest"]) != 32) | (F.size(c["state_words"]) != 8) | (F.lower(F.hex(c["digest"])) != F.array_join(F.transform(c["state_words"], lambda w: F.lpad(F.lower(F.hex(w)), 8, "0")), "")),
-        "byte-diff": (c["mismatches"] < F.abs(c["left_bytes"] - c["right_bytes"])) | (c["mismatches"] > F.greatest(c["left_bytes"], c["right_bytes"])) | ((c["mismatches"] == 0) != c["first_mismatch"].isNull()) | (c["first_mismatch"] >= F.greatest(c["left_bytes"], c["right_bytes"])),
-        "cbor-structural-scan": (c["is_valid"] != c["first_error_offset"].isNull()) | (c["is_valid"] & (c["item_count"] < 1)) | (c["first_error_offset"] > c["byte_count"]) | (c["is_valid"] != c["error_code"].isNull()),
-        "byte-statistics": (F.size(c["histogram"]) != 256) | (F.aggregate(c["histogram"], F.lit(0).cast("long"), lambda a, x: a + x) != c["byte_count"]) | (c["entropy"] < 0) | (c["entropy"] > 8 + 1e-9),
-        "utf8-validation": (c["is_valid"] != c["first_invalid_offset"].isNull()) | (c["first_invalid_offset"] >= c["byte_count"]),
-        "unsigned-varint": (c["value"].isNull() == c["first_error_offset"].isNull()) | (c["value"].isNotNull() & ~c["bytes_consumed"].between(1, 10)),
-        "multibase-codec": c["decoded"].isNull() == c["first_error_offset"].isNull(),
+        "batched-sha256": lambda: (F.octet_length(c["digest"]) != 32) | (F.size(c["state_words"]) != 8) | (F.lower(F.hex(c["digest"])) != F.array_join(F.transform(c["state_words"], lambda w: F.lpad(F.lower(F.hex(w)), 8, "0")), "")),
+        "byte-diff": lambda: (c["mismatches"] < F.abs(c["left_bytes"] - c["right_bytes"])) | (c["mismatches"] > F.greatest(c["left_bytes"], c["right_bytes"])) | ((c["mismatches"] == 0) != c["first_mismatch"].isNull()) | F.coalesce(c["first_mismatch"] >= F.greatest(c["left_bytes"], c["right_bytes"]), F.lit(False)),
+        "cbor-structural-scan": lambda: (c["is_valid"] != c["first_error_offset"].isNull()) | (c["is_valid"] & (c["item_count"] < 1)) | F.coalesce(c["first_error_offset"] > c["byte_count"], F.lit(False)) | (c["is_valid"] != c["error_code"].isNull()),
+        "uint-prefix-scan": lambda: (F.size(c["values"]) != F.size(c["offsets"])) | ~F.forall(F.sequence(F.lit(0), F.size(c["values"])), lambda i: F.coalesce(F.get(c["offsets"], i), c["total"]) == F.when(i == 0, 0).otherwise(F.get(c["offsets"], i - 1) + F.get(c["values"], i - 1))),
+        "byte-compaction": lambda: (F.element_at(c["offsets"], 1) != 0) | (F.element_at(c["offsets"], -1) != F.octet_length(c["bytes"])) | ((F.size(c["offsets"]) > 1) & ~steps(c["offsets"])),
+        "byte-statistics": lambda: (F.size(c["histogram"]) != 256) | (F.aggregate(c["histogram"], F.lit(0).cast("long"), lambda a, x: a + x) != c["byte_count"]) | (c["entropy"] < 0) | (c["entropy"] > 8 + 1e-9),
+        "canonical-key-ordering": lambda: F.array_sort(c) != F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1)).otherwise(F.array().cast("array<int>")),
+        "utf8-validation": lambda: (c["is_valid"] != c["first_invalid_offset"].isNull()) | F.coalesce(c["first_invalid_offset"] >= c["byte_count"], F.lit(False)) | c["byte_count"].isNull(),
+        "multibase-encode": lambda: ~c.rlike("^[uMz]") | (F.length(c) < 1),
+        "multibase-codec": lambda: c["decoded"].isNull() == c["first_error_offset"].isNull(),
+        "varint-encode": lambda: ~F.octet_length(c).between(1, 10) | ~F.hex(F.substring(c, -1, 1)).rlike("^[0-7]"),
+        "unsigned-varint": lambda: (c["value"].isNull() == c["first_error_offset"].isNull()) | (c["value"].isNotNull() & ~F.coalesce(c["bytes_consumed"].between(1, 10), F.lit(False))),
+        "dictionary-probe": lambda: (F.size(c["ids"]) != c["probes"]) | (F.size(F.filter(c["ids"], lambda i: i.isNotNull())) != c["hits"]) | F.exists(F.filter(c["ids"], lambda i: i.isNotNull()), lambda i: i < 0),
+        "whole-document-transform": lambda: (c["value"].isNull() == c["failure"].isNull()) | (c["failure"].isNotNull() & ~F.coalesce(c["failure"]["code"].startswith("ERR_"), F.lit(False))),
+        "cddl-validation": lambda: c["is_valid"] != (F.size(c["messages"]) == 0),
+        "packed-batch": lambda: (c["offset"] < 0) | (c["length"] < 0) | (c["offset"] + c["length"] > c["total"]) | (c["total"] >= F.lit(1 << 32)),
     }
     if family not in tests:
         raise CodecError("ERR_COMPUTE_FAMILY_UNAVAILABLE", f"{family} has no acceptance test")
-    return df.where(c.isNull() | tests[family])
+    return c.isNull() | F.coalesce(tests[family](), F.lit(True))
+
+
+def contradictions(df: DataFrame, family: str, column: str) -> DataFrame:
+    """Rows whose result contradicts itself: the acceptance test of results that come from elsewhere. Native; keep = audit, raise = strict."""
+    return df.where(acceptance(family, F.col(column)))
 
 
 def accepted(df: DataFrame, family: str, column: str) -> DataFrame:
-    """df itself; the query fails with ERR_INVALID_COMPUTE_OUTPUT at the first row that contradicts itself."""
-    wrong = contradictions(df.select(F.col(column).alias(column)), family, column)
-    if wrong.limit(1).count():
-        raise CodecError("ERR_INVALID_COMPUTE_OUTPUT", f"a result of {family} contradicts itself")
-    return df
+    """df itself; a query that uses the column fails with ERR_INVALID_COMPUTE_OUTPUT at the first row that contradicts itself."""
+    fault = F.raise_error(F.lit(f"ERR_INVALID_COMPUTE_OUTPUT: a result of {family} contradicts itself"))
+    return df.withColumn(column, F.when(acceptance(family, F.col(column)), fault.cast(df.schema[column].dataType)).otherwise(F.col(column)))
+
+
+#: Bounds of what a validation takes and says: bytes of a schema and of a document, messages, and characters of each.
+CDDL_LIMITS = {"schema": 1 << 20, "document": 16 << 20, "messages": 100, "message": 1000}
 
 
 def cddl_validate(df: DataFrame, data: str, schema: str, oracle=None, name: str = "cddl") -> DataFrame:
-    """Validity against a CDDL schema by an injected oracle (schema, bytes) -> (is_valid, [messages])."""
+    """Validity against a CDDL schema by an injected oracle (schema, bytes) -> (is_valid, [messages]), as an outcome of each row.
+
+    Documents beyond CDDL_LIMITS fail with ERR_RESOURCE_LIMIT, an oracle that raises or says more than it may is a failure of its row
+    (ERR_INVALID_COMPUTE_OUTPUT); messages are cut, and truncated says so."""
     if oracle is None:
         raise CodecError("ERR_COMPUTE_FAMILY_UNAVAILABLE", "CDDL validation needs an oracle")
+    if not schema or len(schema.encode()) > CDDL_LIMITS["schema"]:
+        raise CodecError("ERR_RESOURCE_LIMIT", "the schema is empty or too long")
 
     def run(b):
-        ok, messages = oracle(schema, b)
-        return {"is_valid": bool(ok), "messages": list(messages)}
-
-    return with_kernel(df, name, "struct<is_valid: boolean, messages: array<string>>", [data], run)
-
+        if len(b) > CDDL_LIMITS["document"]:
+            raise CodecError("ERR_RESOURCE_LIMIT", f"a document of {len(b)} bytes is too long to validate")
+        try:
+            ok, messages = oracle(schema, b)
+            messages = [str(m) for m in messages]
+        except CodecError:
+            raise
+        except Exception as e:  # whatever an injected oracle may raise
+            raise CodecError("ERR_INVALID_COMPUTE_OUTPUT", f"the oracle failed: {e}") from e
+        if bool(ok) == bool(messages):
+            raise CodecError("ERR_INVALID_COMPUTE_OUTPUT", "the oracle's verdict and messages contradict each other")
+        cut = [m[: CDDL_LIMITS["message"]] for m in messages[: CDDL_LIMITS["messages"]]]
+        return {"is_valid": bool(ok), "messages": cut, "truncated": cut != messages}
+
+    return with_kernel(df, name, outcome("struct<is_valid: boolean, messages: array<string>, truncated: boolean>"), [data], isolated(run))

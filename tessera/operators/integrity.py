@@ -67,82 +67,133 @@ def fingerprints(df: DataFrame, json: str, name: str = "fingerprint") -> DataFra
 
 
 def verify_digest(data: Column, expected: Column, algorithm: str = "sha256") -> Column:
-    """Status of a digest: verified, mismatch, or notChecked without an expected value. Compared by equality, not in constant time."""
+    """Status of a digest: verified, mismatch, or not-checked without an expected value. Compared by equality, not in constant time."""
     made = F.unhex(F.sha2(expr.octets(data), ALGORITHMS[algorithm]))
-    return F.when(expected.isNull(), "notChecked").when(made == expected, "verified").otherwise("mismatch")
+    return F.when(expected.isNull(), "not-checked").when(made == expected, "verified").otherwise("mismatch")
 
 
-def manifest(df: DataFrame, artifact: str, data: str, name: str = "manifest", contexts: dict | None = None, dictionary: tuple[int, dict] | None = None) -> DataFrame:
-    """A sidecar per artifact: transport digest, envelope facts, and the fingerprints of the contexts and the dictionary that it was made with."""
+def manifest(df: DataFrame, artifact: str, data: str, name: str = "manifest", contexts: dict | None = None, dictionary: tuple[int, dict] | None = None, structural: str | None = None) -> DataFrame:
+    """A sidecar per artifact: transport digest, envelope facts, the structural fingerprint (a column, if given), and the fingerprints of the
+    contexts and the dictionary that it was made with."""
     from .codec import inspect
 
     looked = inspect(df, data, "_i")
     pins = F.create_map(*[F.lit(x) for u, d in sorted((contexts or {}).items()) for x in (u, context_fingerprint(d))]) if contexts else F.create_map().cast("map<string,string>")
     bound = F.lit(dictionary_fingerprint(*dictionary)) if dictionary else F.lit(None).cast("string")
-    facts = F.struct(*[F.col(f"_i.value.{c}").alias(c) for c in ("format", "registry_id", "compressed", "byte_count")])
-    made = F.struct(F.lit(1).alias("version"), F.col(artifact).cast("string").alias("artifact"), F.sha2(data, 256).alias("transport_sha256"), facts.alias("envelope"), pins.alias("contexts"), bound.alias("dictionary"))
+    facts = F.struct(*[F.col(f"_i.value.{c}").alias(c) for c in ENVELOPE])
+    own = (F.col(structural) if structural else F.lit(None)).cast("string").alias("structural_sha256")
+    made = F.struct(F.lit(1).alias("version"), F.col(artifact).cast("string").alias("artifact"), F.sha2(data, 256).alias("transport_sha256"), own, facts.alias("envelope"), pins.alias("contexts"), bound.alias("dictionary"))
     return looked.withColumn(name, F.when(F.col("_i.failure").isNull(), made)).drop("_i")
 
 
+#: The facts of an envelope that a manifest states.
+ENVELOPE = ("format", "registry_id", "compressed", "byte_count")
+
+
+def manifest_fault(m: Column) -> Column:
+    """ERR_INVALID_MANIFEST for a manifest whose version, envelope or digests can't be right; null for a sound one."""
+    digest = lambda c: F.coalesce(c.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    or_none = lambda c: c.isNull() | digest(c)
+    sound = (m["version"] == 1) & digest(m["transport_sha256"]) & or_none(m["structural_sha256"]) & or_none(m["dictionary"])
+    sound = sound & F.coalesce(F.forall(F.map_values(m["contexts"]), digest), F.lit(True)) & (F.length(m["artifact"]) > 0) & (m["envelope"]["byte_count"] > 0)
+    return F.when(~F.coalesce(sound, F.lit(False)), "ERR_INVALID_MANIFEST")
+
+
 CHECK = "struct<kind: string, subject: string, status: string, expected: string, observed: string, message: string>"
+#: What is checked, in order, and how a check can end.
+KINDS = ("manifest", "envelope", "envelope-metadata", "format-support", "transport-digest", "document-dictionary", "context-document", "document-decoding", "structural-fingerprint")
+STATUSES = ("verified", "mismatch", "invalid", "not-checked", "unavailable")
 
 
-def verification_report(df: DataFrame, data: str, expected_sha256: str | None = None, config: Config = Config(), expected_fingerprint: str | None = None, context_pins: dict | None = None, name: str = "checks") -> DataFrame:
-    """The checks of each document, in order: envelope, format, transport digest, contexts, decoding, structural fingerprint. Never raises for a row.
+def _text(x) -> Column:
+    return F.lit(x).cast("string") if not isinstance(x, Column) else x.cast("string")
 
-    Decoding waits for the pins: contexts that differ from theirs withhold it. Expected values are columns; null ones are notChecked."""
-    wrong = sorted(u for u, d in (config.contexts or {}).items() if (context_pins or {}).get(u) not in (None, context_fingerprint(d)))
 
-    def facts(b: bytes) -> dict:
-        p = envelope.parse(b, config.limits, config.policy)
-        out = {"format": p.format, "registry_id": p.registry_id, "decoded": False, "fingerprint": None, "fault": None}
-        if not wrong and p.format in config.formats:
-            try:
-                out["fingerprint"] = document_fingerprint(envelope.decode(b, config))
-                out["decoded"] = True
-            except CodecError as e:
-                out["fault"] = e.code
-        return out
-
-    kind = "struct<format: string, registry_id: bigint, decoded: boolean, fingerprint: string, fault: string>"
-    seen = with_kernel(df, "_o", outcome(kind), [data], isolated(facts))
-    ok, v = F.col("_o.failure").isNull() & F.col("_o").isNotNull(), F.col("_o.value")
-    want = lambda c: F.col(c) if c else F.lit(None).cast("string")
-    text = lambda x: F.lit(None).cast("string") if x is None else x if isinstance(x, Column) else F.lit(x)
+def check(kind: str, status, expected=None, observed=None, message=None, subject=None) -> Column:
+    """One check; without a subject it is about the whole document."""
+    return F.struct(*[_text(x).alias(n) for n, x in (("kind", kind), ("subject", subject), ("status", status), ("expected", expected), ("observed", observed), ("message", message))])
+
 
-    def check(k: str, status: Column, expected=None, observed=None, message=None) -> Column:
-        return F.struct(*[text(x).alias(n) for n, x in (("kind", k), ("subject", "document"), ("status", status), ("expected", expected), ("observed", observed), ("message", message))])
+def compared_to(expected: Column, observed: Column) -> Column:
+    """not-checked without an expected value, unavailable without an observed one."""
+    return F.when(expected.isNull(), "not-checked").when(observed.isNull(), "unavailable").when(expected == observed, "verified").otherwise("mismatch")
 
+
+def verification_report(
+    df: DataFrame, data: str, expected_sha256: str | None = None, config: Config = Config(), expected_fingerprint: str | None = None,
+    context_pins: dict | Column | None = None, dictionary_pin: Column | str | None = None, expected_envelope: Column | None = None, name: str = "checks",
+) -> DataFrame:
+    """The checks of each document, in the order of KINDS. Never raises for a row.
+
+    Expected values are columns or, for pins, values for all rows; null ones are not checked. Each pinned context has a check of its own: one
+    that the configuration lacks is unavailable. The dictionary is the one of the document's registry entry. Decoding waits for these pins:
+    where one does not hold, it is withheld, and so is the structural fingerprint."""
+    pins = context_pins if isinstance(context_pins, Column) else F.create_map(*[F.lit(x) for kv in sorted((context_pins or {}).items()) for x in kv]).cast("map<string,string>")
+    known = lambda found: F.create_map(*[F.lit(x) for kv in sorted(found.items()) for x in kv]) if found else F.create_map().cast("map<string,string>")
+    contexts = known({u: context_fingerprint(d) for u, d in (config.contexts or {}).items()})
+    dictionaries = known({str(code): dictionary_fingerprint(code, tables) for code, tables in {0: {}, 1: {}, **config.tables}.items()})
+    pinned = dictionary_pin if isinstance(dictionary_pin, Column) else F.lit(dictionary_pin).cast("string")
+
+    def look(b: bytes) -> dict:
+        p = envelope.parse(b, config.limits, config.policy)
+        return {"format": p.format, "registry_id": p.registry_id, "compressed": p.compressed, "byte_count": len(b)}
+
+    kind = "struct<format: string, registry_id: bigint, compressed: boolean, byte_count: bigint>"
+    seen = with_kernel(df, "_o", outcome(kind), [data], isolated(look))
+    ok, v = F.col("_o.failure").isNull() & F.col("_o").isNotNull(), F.col("_o.value")
+    sound = lambda status: F.when(~ok, "unavailable").otherwise(status)
+    of_contexts = F.transform(
+        F.array_sort(F.map_entries(F.coalesce(pins, F.create_map().cast("map<string,string>")))),
+        lambda e: check("context-document", compared_to(e["value"], F.try_element_at(contexts, e["key"])), e["value"], F.try_element_at(contexts, e["key"]), subject=e["key"]),
+    )
+    of_contexts = F.when(F.size(of_contexts) > 0, of_contexts).otherwise(F.array(check("context-document", "not-checked")))
+    own = F.try_element_at(dictionaries, v["registry_id"].cast("string"))
+    of_dictionary = check("document-dictionary", sound(compared_to(pinned, own)), pinned, own, subject=v["registry_id"])
+    seen = seen.withColumns({"_c": of_contexts, "_d": of_dictionary})
+    held = F.forall("_c", lambda c: c["status"].isin("verified", "not-checked")) & F.col("_d.status").isin("verified", "not-checked")
+    seen = seen.withColumn("_in", F.when(ok & held & v["format"].isin(*config.formats), F.col(data)))
+    done = with_kernel(seen, "_f", outcome("string"), ["_in"], isolated(lambda b: document_fingerprint(envelope.decode(b, config))))
+    made, want = F.col("_f.value"), lambda c: F.col(c) if c else F.lit(None).cast("string")
+    facts = (F.lit(None) if expected_envelope is None else F.to_json(F.struct(*[expected_envelope[c].alias(c) for c in ENVELOPE]))).cast("string")
+    facts = facts if expected_envelope is None else F.when(expected_envelope.isNotNull(), facts)
+    now = F.to_json(F.struct(*[v[c].alias(c) for c in ENVELOPE]))
     observed = F.sha2(data, 256)
-    gated = F.lit(bool(wrong))
-    transport = F.when(want(expected_sha256).isNull(), "notChecked").when(observed == want(expected_sha256), "verified").otherwise("mismatch")
-    checks = F.array(
-        check("envelope", F.when(ok, "verified").otherwise("malformed"), None, v["format"], F.col("_o.failure.code")),
-        check("format", F.when(~ok, "unavailable").when(v["format"].isin(*config.formats), "verified").otherwise("mismatch"), ",".join(config.formats), v["format"]),
-        check("transportDigest", transport, want(expected_sha256), observed),
-        check("contexts", F.when(gated, "mismatch").when(F.lit(bool(context_pins)), "verified").otherwise("notChecked"), None, ",".join(wrong) or None),
-        check("decoding", F.when(~ok | gated, "unavailable").when(v["decoded"], "verified").otherwise("malformed"), None, None, v["fault"]),
-        check("structuralFingerprint", F.when(~ok | gated | ~v["decoded"], "unavailable").when(want(expected_fingerprint).isNull(), "notChecked").when(v["fingerprint"] == want(expected_fingerprint), "verified").otherwise("mismatch"), want(expected_fingerprint), v["fingerprint"]),
+    checks = F.concat(
+        F.array(
+            check("envelope", F.when(ok, "verified").otherwise("invalid"), None, None, F.col("_o.failure.code")),
+            check("envelope-metadata", F.when(facts.isNull(), "not-checked").otherwise(sound(compared_to(facts, now))), facts, now),
+            check("format-support", sound(F.when(v["format"].isin(*config.formats), "verified").otherwise("mismatch")), subject=v["format"]),
+            check("transport-digest", compared_to(want(expected_sha256), observed), want(expected_sha256), observed),
+            F.col("_d"),
+        ),
+        F.col("_c"),
+        F.array(
+            check("document-decoding", F.when(F.col("_in").isNull(), "unavailable").when(made.isNotNull(), "verified").otherwise("invalid"), message=F.col("_f.failure.code")),
+            check("structural-fingerprint", F.when(want(expected_fingerprint).isNull(), "not-checked").otherwise(compared_to(want(expected_fingerprint), made)), want(expected_fingerprint), made),
+        ),
     )
-    return seen.withColumn(name, checks).drop("_o")
+    return done.withColumn(name, checks).drop("_o", "_c", "_d", "_in", "_f")
 
 
 def report_against(df: DataFrame, manifests: DataFrame, artifact: str, data: str, config: Config = Config(), name: str = "checks") -> DataFrame:
-    """Documents held against manifests (columns artifact, manifest): documents without one get a failed manifest check."""
-    held = manifests.select(F.col("manifest.artifact").alias("_a"), F.col("manifest.transport_sha256").alias("_sha"), F.col("manifest.version").alias("_v"))
+    """Documents held against all that their manifests (a column manifest) state. Without one the manifest check is unavailable; one that
+    can't be right is invalid, and its claims are not used."""
+    held = manifests.select("manifest", manifest_fault(F.col("manifest")).alias("_fault"), F.col("manifest.artifact").alias("_a"))
     joined = df.join(held, F.col(artifact).cast("string") == F.col("_a"), "left")
-    done = verification_report(joined, data, "_sha", config, name=name)
-    first = F.struct(F.lit("manifest").alias("kind"), F.lit("document").alias("subject"), F.when(F.col("_a").isNull(), "unavailable").when(F.col("_v") == 1, "verified").otherwise("mismatch").alias("status"), F.lit("1").alias("expected"), F.col("_v").cast("string").alias("observed"), F.lit(None).cast("string").alias("message"))
-    return done.withColumn(name, F.concat(F.array(first), F.col(name))).drop("_a", "_sha", "_v")
+    m = F.when(F.col("_fault").isNull(), F.col("manifest"))
+    joined = joined.withColumn("_m", m).withColumns({"_sha": F.col("_m.transport_sha256"), "_own": F.col("_m.structural_sha256")})
+    done = verification_report(joined, data, "_sha", config, "_own", F.col("_m.contexts"), F.col("_m.dictionary"), F.col("_m.envelope"), name)
+    status = F.when(F.col("_a").isNull(), "unavailable").when(F.col("_fault").isNotNull(), "invalid").otherwise("verified")
+    return done.withColumn(name, F.concat(F.array(check("manifest", status, message=F.col("_fault"))), F.col(name))).drop("manifest", "_fault", "_a", "_m", "_sha", "_own")
 
 
 def is_valid(checks: Column) -> Column:
     """What was not checked counts as valid; what could not be checked does not."""
-    return F.forall(checks, lambda c: c["status"].isin("verified", "notChecked"))
+    return F.forall(checks, lambda c: c["status"].isin("verified", "not-checked"))
 
 
 def problems(checks: Column) -> Column:
-    return F.filter(checks, lambda c: ~c["status"].isin("verified", "notChecked"))
+    return F.filter(checks, lambda c: ~c["status"].isin("verified", "not-checked"))
 
 
 def cross_decode_matrix(results: DataFrame) -> DataFrame:

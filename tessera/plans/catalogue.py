@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..kernels.envelope import Config
+from ..kernels import tables
 from ..kernels.tables import Dictionary
 from ..operators import codec, families, integrity
 
@@ -378,7 +379,11 @@ def acceptance_contradictions(spark, sf_dir):
     return out
 
 
-@query()
+_VALUES = lambda rows: ", ".join("(" + ", ".join(str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
+_FAMILIES = [(f"{f}.v1", p, f != "cddl-validation") for p, fs in families.FAMILIES.items() for f in fs]
+
+
+@query(f"SELECT * FROM (VALUES {_VALUES(_FAMILIES)}) v(family, priority, available)")
 def family_catalogue(spark, sf_dir):
     return families.catalogue(spark)
 
@@ -432,16 +437,20 @@ def verify_digest_mismatches(spark, sf_dir):
 _T = "CASE WHEN doc_id % 7 = 0 THEN 'mismatch' ELSE 'verified' END"
 
 
-@query(f"SELECT kind, status, count(*)::BIGINT AS n FROM (SELECT 'envelope' AS kind, 'verified' AS status FROM documents UNION ALL SELECT 'format', 'verified' FROM documents UNION ALL SELECT 'transportDigest', {_T} FROM documents UNION ALL SELECT 'contexts', 'notChecked' FROM documents UNION ALL SELECT 'decoding', 'verified' FROM documents UNION ALL SELECT 'structuralFingerprint', {_T} FROM documents) GROUP BY 1, 2")
+_KINDS = [("envelope", "'verified'"), ("envelope-metadata", "'not-checked'"), ("format-support", "'verified'"), ("transport-digest", _T), ("document-dictionary", "'not-checked'"), ("context-document", "'not-checked'"), ("document-decoding", "'verified'"), ("structural-fingerprint", _T)]
+
+
+@query("SELECT kind, status, count(*)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, {s} AS status FROM documents" for k, s in _KINDS) + ") GROUP BY 1, 2")
 def verification_report_counts(spark, sf_dir):
     r = integrity.verification_report(_tampered(spark, sf_dir), "c", "sha256", expected_fingerprint="fingerprint")
     return r.select(F.explode("checks").alias("k")).groupBy("k.kind", "k.status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, doc_id % 7 <> 0 AS valid, (CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) AS n_problems FROM documents")
+@query("SELECT doc_id, doc_id % 7 <> 0 AS valid, (CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END) AS n_problems FROM documents")
 def manifest_reports(spark, sf_dir):
-    """Manifests of the originals against the documents as they are now."""
-    m = integrity.manifest(envelopes(spark, sf_dir).select("doc_id", "c"), "doc_id", "c").select("manifest")
+    """Manifests of the originals, structural fingerprints included, against the documents as they are now."""
+    e = integrity.structural_fingerprint(envelopes(spark, sf_dir), FIELDS).select("doc_id", "c", "fingerprint")
+    m = integrity.manifest(e, "doc_id", "c", structural="fingerprint").select("manifest")
     r = integrity.report_against(_tampered(spark, sf_dir).select("doc_id", "c"), m, "doc_id", "c")
     return r.select("doc_id", integrity.is_valid(F.col("checks")).alias("valid"), F.size(integrity.problems(F.col("checks"))).alias("n_problems"))
 
@@ -481,7 +490,10 @@ def dictionary_conflicts(spark, sf_dir):
     return families.dictionary_conflicts(c).select("id", "n_values")
 
 
-@query()
+_TABLES = [("keyword", tables.KEYWORDS), ("context", tables.LEGACY_CONTEXTS), ("cryptosuite", tables.CRYPTOSUITES), ("scheme", tables.SCHEMES)]
+
+
+@query("SELECT dict_table, value, id::BIGINT AS id FROM (VALUES " + _VALUES([(t, v, i) for t, ids in _TABLES for v, i in ids.items()]) + ") v(dict_table, value, id)")
 def builtin_tables(spark, sf_dir):
     return families.builtin_tables(spark)
 
@@ -528,3 +540,6 @@ def lossless_and_decoded(spark, sf_dir):
     e = envelopes(spark, sf_dir).select("doc_id", "c")
     v = codec.validate_lossless(codec.decode_validated(e, "c", Config()), "c")
     return v.select("doc_id", "validated.value.truncated", F.col("decoded.value.nodes").alias("n_nodes"))
+
+
+from . import coverage  # noqa: E402, F401  (adds its queries to this catalogue)

@@ -31,12 +31,14 @@ def failures_by_window(decoded: DataFrame, event_time: str, width: str = "10 min
 
 
 def write_guarded(stream: DataFrame, data: str, path: str, checkpoint: str, documents: int = 100_000, total_bytes: int = 256 << 20) -> StreamingQuery:
-    """Appends each micro-batch to path after its limits are checked; a batch beyond them stops the query with ERR_BATCH_LIMIT."""
+    """Writes each micro-batch to path after its limits are checked; a batch beyond them stops the query with ERR_BATCH_LIMIT.
 
-    def put(batch: DataFrame, _: int) -> None:
+    A batch is the partition batch_id of path, so one that is run again after a failure replaces what it wrote before."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
         n, size = batch.agg(F.count("*"), F.sum(F.octet_length(data))).first()
         if n > documents or (size or 0) > total_bytes:
             raise CodecError("ERR_BATCH_LIMIT", f"{n} documents of {size} bytes are beyond the batch limits")
-        batch.write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -126,11 +126,11 @@ def test_probe_keeps_misses(spark):
 def test_acceptance(spark):
     s = families.structural_scan(hexes(spark, "a0", "61ff", "f0"), "b")
     assert families.contradictions(s, "cbor-structural-scan", "scan").count() == 0
-    assert families.accepted(s, "cbor-structural-scan", "scan") is s
+    assert families.accepted(s, "cbor-structural-scan", "scan").collect() == s.collect()
     wrong = s.withColumn("scan", F.col("scan").withField("is_valid", F.lit(True)))
     assert families.contradictions(wrong, "cbor-structural-scan", "scan").count() == 1
-    with pytest.raises(CodecError, match="contradicts"):
-        families.accepted(wrong, "cbor-structural-scan", "scan")
+    with pytest.raises(Exception, match="ERR_INVALID_COMPUTE_OUTPUT"):
+        families.accepted(wrong, "cbor-structural-scan", "scan").collect()
     with pytest.raises(CodecError, match="oracle"):
         families.cddl_validate(s, "b", "any")
 
@@ -173,11 +173,89 @@ def test_reports(spark):
     df = hexes(spark, "d9cb1d8200a0", "ff").withColumn("want", F.sha2("b", 256))
     r = integrity.verification_report(df, "b", "want")
     status = [[c["status"] for c in checks] for checks in column(r, "checks")]
-    assert status[0] == ["verified", "verified", "verified", "notChecked", "verified", "notChecked"]
-    assert status[1] == ["malformed", "unavailable", "verified", "notChecked", "unavailable", "unavailable"]
+    assert status[0] == ["verified", "not-checked", "verified", "verified", "not-checked", "not-checked", "verified", "not-checked"]
+    assert status[1] == ["invalid", "not-checked", "unavailable", "verified", "unavailable", "not-checked", "unavailable", "not-checked"]
+    assert [c["kind"] for c in column(r, "checks")[0]] == list(integrity.KINDS[1:])
     assert column(r.select("i", integrity.is_valid(F.col("checks")).alias("ok")), "ok") == [True, False]
     gated = integrity.verification_report(df, "b", config=Config(contexts={"urn:c": {"@context": {}}}), context_pins={"urn:c": "0"})
-    assert column(gated, "checks")[0][4]["status"] == "unavailable"
+    assert column(gated, "checks")[0][6]["status"] == "unavailable"
+    missing = integrity.verification_report(df, "b", context_pins={"urn:gone": "0"})
+    assert column(missing, "checks")[0][5]["status"] == "unavailable" and not column(missing.select("i", integrity.is_valid(F.col("checks")).alias("ok")), "ok")[0]
+
+
+FAULTY = {
+    "batched-sha256": ("struct<digest: binary, state_words: array<bigint>>", [(b"x", [1]), (None, None)]),
+    "byte-diff": ("struct<left_bytes: bigint, right_bytes: bigint, mismatches: bigint, first_mismatch: bigint>", [(3, 3, None, 0), (3, 3, 0, 1), (3, 5, 1, 3), (3, 3, 1, 3)]),
+    "uint-prefix-scan": ("struct<values: array<bigint>, offsets: array<bigint>, total: bigint>", [([1, 2], [0, 2], 3), ([1], [1], 2), ([1], [0], 2), ([1], [0], None)]),
+    "byte-compaction": ("struct<bytes: binary, offsets: array<bigint>>", [(b"abc", [0, 2, 1, 3]), (b"abc", [1, 3]), (b"abc", [0, 2]), (b"abc", None)]),
+    "canonical-key-ordering": ("array<int>", [[0, 0], [1, 2]]),
+    "utf8-validation": ("struct<byte_count: bigint, is_valid: boolean, first_invalid_offset: bigint>", [(3, True, 1), (3, False, 3), (None, True, None)]),
+    "multibase-encode": ("string", ["", "xA"]),
+    "varint-encode": ("binary", [b"", b"\x80", b"\xff" * 11]),
+    "unsigned-varint": ("struct<value: decimal(20,0), bytes_consumed: bigint, first_error_offset: bigint>", [(None, 1, None)]),
+    "dictionary-probe": ("struct<probes: int, hits: int, ids: array<bigint>>", [(2, 1, [1]), (2, 2, [1, None]), (1, 1, [-1])]),
+    "cddl-validation": ("struct<is_valid: boolean, messages: array<string>>", [(True, ["x"]), (False, []), (None, [])]),
+    "packed-batch": ("struct<offset: bigint, length: bigint, total: bigint>", [(2, 2, 3), (0, 1, None), (-1, 1, 3)]),
+    "whole-document-transform": ("struct<value: string, failure: struct<code: string>>", [(None, None), ("a", ("ERR_X",)), (None, (None,))]),
+}
+SOUND = {
+    "uint-prefix-scan": [([1, 2], [0, 1], 3), ([], [], 0)], "byte-compaction": [(b"abc", [0, 2, 3]), (b"", [0])], "canonical-key-ordering": [[1, 0], []],
+    "multibase-encode": ["uA"], "varint-encode": [b"\x01"], "dictionary-probe": [(2, 1, [1, None]), (0, 0, [])], "cddl-validation": [(True, []), (False, ["x"])],
+    "packed-batch": [(0, 3, 3), (3, 0, 3)], "whole-document-transform": [("a", None), (None, ("ERR_X",))], "byte-diff": [(3, 3, 0, None), (3, 5, 2, 3)],
+}
+
+
+@pytest.mark.parametrize("family", FAULTY)
+def test_contradictions_of_each_family(spark, family):
+    kind, wrong = FAULTY[family]
+    frame = lambda rows: spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"i int, c {kind}")
+    assert families.contradictions(frame([*wrong, None]), family, "c").count() == len(wrong) + 1
+    assert families.contradictions(frame(SOUND.get(family, [])), family, "c").count() == 0
+
+
+def test_cddl_outcomes(spark):
+    df = spark.createDataFrame([(0, b"ok"), (1, b"bad"), (2, b"boom"), (3, b"odd"), (4, None)], "i long, b binary")
+
+    def oracle(schema, b):
+        if b == b"boom":
+            raise KeyError("boom")
+        return (b in (b"ok", b"odd"), ["no"] * 200 if b == b"bad" else ["?"] if b == b"odd" else [])
+
+    got = column(families.cddl_validate(df, "b", "any", oracle), "cddl")
+    assert got[0]["value"]["is_valid"] and not got[1]["value"]["is_valid"] and len(got[1]["value"]["messages"]) == 100 and got[1]["value"]["truncated"]
+    assert [got[i]["failure"]["code"] for i in (2, 3)] == ["ERR_INVALID_COMPUTE_OUTPUT"] * 2 and got[4] is None
+
+
+def test_manifests_hold_all_their_pins(spark):
+    ctx = {"urn:c": {"@context": {"x": "urn:x"}}}
+    config = codec.with_dictionary(Dictionary(2, typed={"t": {"1": 5}}), ctx)
+    df = codec.encode_json(spark.createDataFrame([(0, '{"@context": "urn:c", "x": "1"}')], "i long, j string"), "j", config, "e").select("i", F.col("e.value").alias("b"))
+    m = integrity.manifest(df, "i", "b", contexts=ctx, dictionary=(2, config.tables[2]))
+    run = lambda frame, how: {c["kind"]: c["status"] for c in integrity.report_against(df, frame, "i", "b", how).first()["checks"]}
+    assert set(run(m, config).values()) == {"verified", "not-checked"}
+    other = codec.with_dictionary(Dictionary(2, typed={"t": {"1": 6}}), ctx)
+    assert run(m, other)["document-dictionary"] == "mismatch" and run(m, other)["document-decoding"] == "unavailable"
+    assert run(m, codec.with_dictionary(Dictionary(2, typed={"t": {"1": 5}})))["context-document"] == "unavailable"
+    wrong = m.withColumn("manifest", F.col("manifest").withField("envelope.byte_count", F.lit(1).cast("long")))
+    assert run(wrong, config)["envelope-metadata"] == "mismatch"
+    bad = m.withColumn("manifest", F.col("manifest").withField("transport_sha256", F.lit("xyz")))
+    checks = integrity.report_against(df, bad, "i", "b", config).first()["checks"]
+    assert (checks[0]["status"], checks[0]["message"]) == ("invalid", "ERR_INVALID_MANIFEST")
+
+
+def test_pins_and_legacy_contexts(spark):
+    d = Dictionary(7, typed={"t": {"a": 5}})
+    pin = integrity.dictionary_fingerprint(7, d.tables())
+    assert families.pinned_dictionary(spark, d, pin).count() == 1
+    for p, code in ((None, "ERR_UNPINNED_DICTIONARY"), ("0", "ERR_INTEGRITY_MISMATCH")):
+        with pytest.raises(CodecError) as e:
+            families.pinned_dictionary(spark, d, p)
+        assert e.value.code == code
+    config = codec.with_legacy_contexts({"urn:app": 40_000}, Config(registry_id=1, contexts={"urn:app": {"@context": {"x": "urn:x"}}}))
+    df = codec.encode_json(spark.createDataFrame([(0, '{"@context": "urn:app", "x": 1}')], "i long, j string"), "j", config, "e").withColumn("b", F.col("e.value"))
+    assert b"urn:app" not in bytes(df.first()["b"]) and "urn:app" in codec.decode_json(df, "b", config).first()["decoded"]["value"]
+    with pytest.raises(CodecError):
+        codec.with_legacy_contexts({"urn:app": 16})
 
 
 def test_digest_of_known_answers(spark):

@@ -154,7 +154,7 @@ class Words:
 
 
 #: Rows and bytes of text in a slice of a batch, so that what a task holds is bounded.
-SLICE, SLICE_BYTES = 2000, 4 << 20
+SLICE, SLICE_BYTES = 2000, 2 << 20
 
 
 def sliced(batches: Iterator[pa.RecordBatch], text: int | None = None) -> Iterator[pa.RecordBatch]:

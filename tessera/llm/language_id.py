@@ -143,7 +143,7 @@ class Network:
         order, at = sorted(range(len(found)), key=lambda i: len(found[i])), 0
         while at < len(order):
             end = at + 1
-            while end < len(order) and end - at < 2048 and (end - at) * len(found[order[end]]) < 1 << 20:
+            while end < len(order) and end - at < 2048 and (end - at) * len(found[order[end]]) < 1 << 18:
                 end += 1
             out[order[at:end]] = self.sums([found[i] for i in order[at:end]])
             at = end

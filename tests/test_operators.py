@@ -37,7 +37,7 @@ def test_query_against_sql(spark, name):
     if not os.path.isdir(d):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    for t in ("nation", "customer", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark"):
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark"):
         con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
     got, want = catalogue.QUERIES[name](spark, d).toPandas(), con.sql(catalogue.SQL[name]).df()
     cols = sorted(got.columns)

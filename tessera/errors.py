@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 class CodecError(ValueError):
-    def __init__(self, code: str, message: str, offset: int | None = None, related: int | None = None, violation: str | None = None):
+    def __init__(self, code: str, message: str, offset: int | None = None, related: int | None = None, violation: str | None = None, end: int | None = None):
         super().__init__(message)
         self.code, self.message, self.offset, self.related, self.violation = code, message, offset, related, violation
+        self.end, self.place = end, None  # where the fault ends, and the item that it is in, if known
 
 
 def invalid_input(message: str) -> CodecError:

@@ -30,11 +30,14 @@ def with_kernel(df: DataFrame, name: str, kind: str | T.DataType, inputs: list[s
     return df.mapInArrow(run, schema)
 
 
-FAILURE = "struct<code: string, message: string, byte_offset: bigint, related_offset: bigint, violation: string>"
+PLACE = "end_offset: bigint, container_path: string, json_path: string, major: int, info: int"
+FAILURE = f"struct<code: string, message: string, byte_offset: bigint, related_offset: bigint, violation: string, {PLACE}>"
 
 
 def failure(e: CodecError) -> dict:
-    return {"code": e.code, "message": e.message, "byte_offset": e.offset, "related_offset": e.related, "violation": e.violation}
+    at = e.place
+    place = {"end_offset": e.end, "container_path": at and at.path, "json_path": at and at.json_path, "major": at and at.major, "info": at and at.info}
+    return {"code": e.code, "message": e.message, "byte_offset": e.offset, "related_offset": e.related, "violation": e.violation, **place}
 
 
 def outcome(value: str) -> str:

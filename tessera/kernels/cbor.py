@@ -208,7 +208,7 @@ class Reader:
     def breach(self, code: str, violation: str, node: Node) -> None:
         node.violations.append(violation)
         if not self.lossless:
-            raise CodecError(code, f"policy: {violation}", node.start, violation=violation)
+            raise CodecError(code, f"policy: {violation}", node.start, violation=violation, end=self.at)
 
     def take(self, n: int) -> bytes:
         if n > len(self.data) - self.at:
@@ -230,6 +230,15 @@ class Reader:
             self.breach(f"ERR_NON_PREFERRED_{kind.upper()}", f"non-preferred-{kind}", node)
 
     def read(self) -> Node:
+        """The item. A failure knows the innermost item that holds its offset, of those begun so far."""
+        try:
+            return self.walk()
+        except CodecError as e:
+            if e.offset is not None:
+                e.place = next((n for n in reversed(self.nodes) if n.start <= e.offset and not -1 < n.end <= e.offset), None)
+            raise
+
+    def walk(self) -> Node:
         if len(self.data) > self.limits.input_bytes:
             raise CodecError("ERR_RESOURCE_LIMIT", "the input is longer than the limit", self.limits.input_bytes)
         stack: list[_Frame] = []
@@ -401,6 +410,122 @@ class Reader:
         return node
 
 
+def read_json(data: bytes, at: int, limits: Limits = Limits(), depth: int = 0):
+    """The JSON value that fills the data from ``at`` on, without nodes or CBOR values between: the quick way for plain documents.
+
+    What JSON can't hold is ERR_INVALID_INPUT, a key that comes twice included; simple values other than the JSON ones are ERR_NOT_CBORLD."""
+    size = len(data)
+    bad = lambda message, at: CodecError("ERR_NOT_CBORLD", message, at)
+
+    def argument(info: int, at: int) -> tuple[int, int]:
+        if info < 24:
+            return info, at
+        if info > 27:
+            raise bad(f"additional information {info} is not defined", at)
+        end = at + (1 << info - 24)
+        if end > size:
+            raise bad("unexpected end of data", at)
+        return int.from_bytes(data[at:end], "big"), end
+
+    def open_ended(info: int, at: int) -> bool:
+        if info == 31 and not limits.allow_indefinite:
+            raise bad("indefinite lengths are not allowed", at)
+        return info == 31
+
+    def text(info: int, at: int) -> tuple[str, int]:
+        if open_ended(info, at):
+            parts = []
+            while not ended(at):
+                if data[at] >> 5 != 3 or data[at] & 31 == 31:
+                    raise bad("a chunk is of another kind", at + 1)
+                part, at = text(data[at] & 31, at + 1)
+                parts.append(part)
+            return "".join(parts), at + 1
+        n, at = argument(info, at)
+        if n > size - at:
+            raise bad("unexpected end of data", at)
+        try:
+            return data[at : at + n].decode(), at + n
+        except UnicodeDecodeError:
+            raise bad("text is not UTF-8", at + n) from None
+
+    def ended(at: int) -> bool:
+        if at >= size:
+            raise bad("an indefinite item does not end", at)
+        return data[at] == 0xFF
+
+    def simple(info: int, at: int):
+        if info in (20, 21, 22):
+            return (False, True, None)[info - 20], at
+        if info not in (25, 26, 27):
+            raise bad(f"simple value {info} is no JSON value", at)
+        width = (2, 4, 8)[info - 25]
+        if width > size - at:
+            raise bad("unexpected end of data", at)
+        number = struct.unpack_from((">e", ">f", ">d")[info - 25], data, at)[0]
+        if not math.isfinite(number):
+            raise invalid_input("a number that is not finite has no JSON form")
+        return number, at + width
+
+    def first(at: int, depth: int) -> int:
+        if depth > limits.depth:
+            raise CodecError("ERR_RESOURCE_LIMIT", "items are nested deeper than the limit", at)
+        if at >= size:
+            raise bad("unexpected end of data", at)
+        return data[at]
+
+    def counted(n: int, at: int) -> None:
+        if n > limits.items:
+            raise CodecError("ERR_RESOURCE_LIMIT", "a container has more items than the limit", at)
+
+    def value(at: int, depth: int):
+        byte = first(at, depth)
+        major, info, at = byte >> 5, byte & 31, at + 1
+        if major == 3:
+            return text(info, at)
+        if major == 7:
+            return simple(info, at)
+        if major in (2, 6):
+            raise invalid_input("bytes and tags have no JSON form")
+        if major < 2:
+            n, at = argument(info, at)
+            if n >= INT64:
+                raise invalid_input("an integer beyond 64 bits has no JSON form") if major == 0 else bad("the negative integer is below 64 bits", at)
+            return (-1 - n if major else n), at
+        n, out, k = None, [] if major == 4 else {}, 0
+        if not open_ended(info, at):
+            n, at = argument(info, at)
+            counted(n, at)
+            if n > (size - at) // (major - 3):
+                raise bad("a container's length goes beyond the data", at)
+        while k != n:
+            if n is None:
+                if ended(at):
+                    return out, at + 1
+                counted(k + 1, at)
+            k += 1
+            if major == 4:
+                item, at = value(at, depth + 1)
+                out.append(item)
+                continue
+            byte = first(at, depth + 1)
+            if byte >> 5 != 3:
+                raise invalid_input("a JSON object needs string keys")
+            key, at = text(byte & 31, at + 1)
+            item, at = value(at, depth + 1)
+            if key in out:
+                raise invalid_input(f"duplicate key {key!r}")
+            out[key] = item
+        return out, at
+
+    if size > limits.input_bytes:
+        raise CodecError("ERR_RESOURCE_LIMIT", "the input is longer than the limit", limits.input_bytes)
+    found, end = value(at, depth)
+    if end != size:
+        raise bad("data goes on after the item", end)
+    return found
+
+
 def decode(data: bytes, limits: Limits = Limits(), policy: Policy = Policy()):
     return Reader(data, limits, policy).read().value
 

@@ -29,6 +29,7 @@ class Config:
     policy: Policy = Policy()
     formats: tuple[str, ...] = (V1, RANGE, SINGLETON)
     compressed: bool = True  # of the legacy singleton, which has no registry id
+    direct: bool = True  # uncompressed 1.0 envelopes under the default policy are read straight to JSON, with the codes of that way
     prepared: dict = field(default_factory=dict, repr=False, compare=False)  # tables made so far, once in each worker
 
     def table(self, registry_id: int) -> TypeTable:
@@ -102,7 +103,13 @@ def encode(document, config: Config = Config()) -> bytes:
     return wrap(Session(table, config.contexts, legacy).compress(document), config.format, config.registry_id, True, config.mode)
 
 
+#: Fixed value: the head of an uncompressed 1.0 envelope, up to its payload; how deep the direct way may recurse.
+PLAIN, DIRECT_DEPTH = b"\xd9\xcb\x1d\x82\x00", 256
+
+
 def decode(data: bytes, config: Config = Config()):
+    if config.direct and data.startswith(PLAIN) and config.policy == Policy() and config.limits.depth <= DIRECT_DEPTH and V1 in config.formats:
+        return cbor.read_json(data, len(PLAIN), config.limits, 2)
     p = parse(data, config.limits, config.policy)
     if p.format not in config.formats:
         raise CodecError("ERR_UNSUPPORTED_FORMAT", f"format {p.format} is not enabled")

@@ -58,14 +58,16 @@ def with_dictionaries(dictionaries: list[Dictionary], contexts: dict | None = No
         if d.validate().code in tables:
             raise CodecError("ERR_INVALID_DICTIONARY", f"code {d.code} has two dictionaries")
         tables[d.code] = d.tables()
-    return Config(tables={k: t for k, t in tables.items() if k > 1}, contexts=contexts, **more)
+    return Config(tables={k: t for k, t in tables.items() if k > 1}, contexts=contexts, **{"direct": False} | more)
 
 
 def whole_document(df: DataFrame, data: str, config: Config, pins: dict[str, str] | None = None, dictionary_pin: str | None = None, operation: str = "decode", name: str = "document") -> DataFrame:
     """Pinned, bounded transform of whole documents: outcome and the digest of the transport bytes it belongs to."""
     from .integrity import context_fingerprint, dictionary_fingerprint
 
-    lim = config.limits
+    lim, wanted = config.limits, {"encode": "string", "decode": "binary"}
+    if operation not in wanted or df.schema[data].dataType.typeName() != wanted[operation]:
+        raise CodecError("ERR_INVALID_INPUT", f"{operation} can't take the column {data}: JSON text is encoded, bytes are decoded")
     if min(lim.input_bytes, lim.depth, lim.items) < 0:
         raise CodecError("ERR_RESOURCE_LIMIT", "limits must not be negative")
     for code, tables in config.tables.items():
@@ -79,11 +81,32 @@ def whole_document(df: DataFrame, data: str, config: Config, pins: dict[str, str
         if context_fingerprint(doc) != pins[url]:
             raise CodecError("ERR_INTEGRITY_MISMATCH", f"context {url} differs from its pin")
     if operation == "encode":
-        done = encode_json(df, data, config, name)
+
+        def bounded(s: str) -> bytes:
+            if len(s.encode()) > lim.input_bytes:
+                raise CodecError("ERR_RESOURCE_LIMIT", "the input is longer than the limit", lim.input_bytes)
+            return envelope.encode(cbor.parse_json(s), config)
+
+        done = with_kernel(df, name, outcome("binary"), [data], isolated(bounded))
         return done.withColumn("transport_sha256", F.sha2(F.col(name)["value"], 256))
     return decode_json(df, data, config, name).withColumn("transport_sha256", F.sha2(F.col(data), 256))
 
 
+def resolve_contexts(urls: list[str], documents: dict, pins: dict[str, str] | None = None, fallback=None) -> dict:
+    """The contexts of urls for a configuration: registered documents, or else what the fallback (a function of the URL, called on the driver)
+    gives. A pin, where there is one, must hold either way."""
+    from .integrity import context_fingerprint
+
+    found = {}
+    for url in urls:
+        found[url] = documents[url] if url in documents else fallback and fallback(url)
+        if found[url] is None:
+            raise CodecError("ERR_UNKNOWN_CONTEXT", f"no context is registered for {url}")
+        if url in (pins or {}) and context_fingerprint(found[url]) != pins[url]:
+            raise CodecError("ERR_INTEGRITY_MISMATCH", f"context {url} differs from its pin")
+    return found
+
+
 def with_legacy_contexts(contexts: dict[str, int], config: Config = Config()) -> Config:
     """config with an application's own context ids beside those of the legacy table (registry entry 1), before which they go."""
     from ..kernels.tables import LEGACY, LEGACY_CONTEXTS
@@ -158,7 +181,7 @@ def decode_validated(df: DataFrame, data: str, config: Config, name: str = "deco
         found = cbor.scan_nodes(b, config.limits, config.policy)
         if breach := next((v for n in found for v in n.violations), None):
             raise CodecError("ERR_POLICY_MISMATCH", f"the document breaks its policy: {breach}")
-        return {"json": cbor.dump_json(envelope.decode(b, replace(config, policy=policy))), "nodes": len(found)}
+        return {"json": cbor.dump_json(envelope.decode(b, replace(config, policy=policy, direct=False))), "nodes": len(found)}
 
     return with_kernel(df, name, outcome("struct<json: string, nodes: bigint>"), [data], isolated(run))
 

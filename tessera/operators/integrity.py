@@ -61,6 +61,16 @@ def dictionary_fingerprint(code: int, tables: dict, profile: str | None = None)
     return _fingerprint(fields, "document-dictionary")
 
 
+def provenance(config: Config) -> Column:
+    """What gives compressed values their meaning: fingerprints of the dictionaries by registry id, and of the contexts by URL. A literal
+    column, to go with the documents that config decodes."""
+    made = {
+        "dictionaries": {str(k): dictionary_fingerprint(k, t) for k, t in sorted(config.tables.items())},
+        "contexts": {u: context_fingerprint(d) for u, d in sorted((config.contexts or {}).items())},
+    }
+    return F.struct(*[F.create_map(*[F.lit(x) for kv in m.items() for x in kv]).cast("map<string,string>").alias(n) for n, m in made.items()])
+
+
 def fingerprints(df: DataFrame, json: str, name: str = "fingerprint") -> DataFrame:
     """Fingerprints of JSON documents of any shape."""
     return with_kernel(df, name, outcome("string"), [json], isolated(lambda s: document_fingerprint(cbor.parse_json(s))))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..kernels.cbor import Limits
+from ..kernels.cbor import Limits, Policy
 from ..kernels.envelope import Config
 from ..kernels.tables import CRYPTOSUITE, MULTIBASE, XSD, Dictionary
 from ..operators import codec, families, integrity
@@ -179,6 +179,34 @@ def input_limits(spark, sf_dir):
     return d.groupBy(F.coalesce("decoded.failure.code", F.lit("valid")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
+_KINDS = "list_extract([NULL, 'ERR_INVALID_INPUT', '{}', 'ERR_INVALID_INPUT', 'ERR_INVALID_INPUT'], (c_custkey % 5 + 1)::INT)"
+
+
+@query(f"SELECT c_custkey, {_KINDS.format('ERR_NOT_CBORLD')} AS direct, CASE WHEN c_custkey % 5 = 1 THEN 'ERR_NOT_CBORLD' ELSE {_KINDS.format('ERR_RESERVED_SIMPLE_VALUE')} END AS walked, CASE WHEN c_custkey % 5 = 0 THEN c_name END AS back FROM customer")
+def plain_documents(spark, sf_dir):
+    """Sound, a key twice, a reserved simple value, an integer beyond 64 bits, and bytes: read straight to JSON, and walked under a policy."""
+    name = F.concat(F.unhex(F.hex(F.octet_length("c_name") + 0x60)), F.col("c_name").cast("binary"))
+    tails = [F.concat(F.lit(b"\xa1\x61n"), name), *map(F.lit, (b"\xa2\x61n\x01\x61n\x02", b"\xa1\x61n\xf0", b"\xa1\x61n\x1b" + b"\xff" * 8, b"\xa1\x61n\x41x"))]
+    b = F.concat(F.lit(b"\xd9\xcb\x1d\x82\x00"), F.element_at(F.array(*tails), (F.col("c_custkey") % 5 + 1).cast("int")))
+    c = table(spark, sf_dir, "customer").select("c_custkey", b.alias("b"))
+    limits = Limits(reject_duplicate_keys=True)
+    d = codec.decode_json(codec.decode_json(c, "b", Config(limits=limits)), "b", Config(limits=limits, policy=Policy(reject_integer_widths=True)), "again")
+    same = F.when(F.col("decoded.value").eqNullSafe(F.col("again.value")), F.from_json("decoded.value", "n string")["n"])
+    return d.select("c_custkey", F.col("decoded.failure.code").alias("direct"), F.col("again.failure.code").alias("walked"), same.alias("back"))
+
+
+@query("""SELECT c_custkey, 'ERR_NON_PREFERRED_INTEGER' AS code, 7 + strlen(c_name) AS byte_offset, 9 + strlen(c_name) AS end_offset, '$.tag[1].value[0]' AS container_path, '$[1].' || c_name AS json_path, 0::BIGINT AS major, 24::BIGINT AS info FROM customer WHERE c_custkey % 3 = 1
+UNION ALL SELECT c_custkey, 'ERR_NOT_CBORLD', 7 + strlen(c_name), NULL, '$.tag[1]', '$[1]', 5, 1 FROM customer WHERE c_custkey % 3 = 2
+UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 3 = 0""")
+def failure_places(spark, sf_dir):
+    """Sound, an integer in two bytes that fits in one, and a document cut before a value: where the fault is, and in which item."""
+    tail = F.element_at(F.array(*map(F.lit, (b"\x05", b"\x18\x05", b""))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    b = F.concat(F.lit(b"\xd9\xcb\x1d\x82\x00\xa1"), F.unhex(F.hex(F.octet_length("c_name") + 0x60)), F.col("c_name").cast("binary"), tail)
+    d = codec.decode_json(table(spark, sf_dir, "customer").select("c_custkey", b.alias("b")), "b", Config(policy=Policy(reject_integer_widths=True)))
+    at = [F.col(f"decoded.failure.{c}") for c in ("code", "byte_offset", "end_offset", "container_path", "json_path")]
+    return d.select("c_custkey", *at, *[F.col(f"decoded.failure.{c}").cast("long").alias(c) for c in ("major", "info")])
+
+
 @query("SELECT doc_id % 3 = 0 AS valid, count(*)::BIGINT AS n, count(*) FILTER (WHERE doc_id % 3 = 2)::BIGINT AS failures FROM documents GROUP BY 1")
 def cddl_verdicts(spark, sf_dir):
     """An injected oracle: sound, refused, and failing on the row."""
@@ -236,6 +264,19 @@ def manifest_pins(spark, sf_dir):
     return r.select(F.explode("checks").alias("k")).groupBy("k.kind", "k.status").agg(F.count("*").alias("n"))
 
 
+@query("SELECT p_partkey, p_name AS back, true AS pinned, 1::BIGINT AS dictionaries FROM part")
+def decoding_provenance(spark, sf_dir):
+    """Decoded documents with the fingerprints of what they were decoded with, which are those that their manifests pin."""
+    ctx = {"urn:c": {"@context": {"v": {"@id": "urn:v", "@type": "ex:n"}}}}
+    config = codec.with_dictionary(Dictionary(200, typed={"ex:n": {"a": 1}}), codec.resolve_contexts(["urn:c"], {}, fallback=ctx.get))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.to_json(F.struct(F.lit("urn:c").alias("@context"), F.col("p_name").alias("v"))).alias("j"))
+    e = codec.encode_json(p, "j", config, "e").select("p_partkey", F.col("e.value").alias("c"))
+    m = integrity.manifest(e, "p_partkey", "c", contexts=ctx, dictionary=(200, config.tables[200]))
+    d = codec.decode_json(m, "c", config).withColumn("with", integrity.provenance(config))
+    pinned = (F.col("with.dictionaries")["200"] == F.col("manifest.dictionary")) & (F.col("with.contexts")["urn:c"] == F.col("manifest.contexts")["urn:c"])
+    return d.select("p_partkey", F.from_json("decoded.value", "v string")["v"].alias("back"), pinned.alias("pinned"), F.size("with.dictionaries").cast("long").alias("dictionaries"))
+
+
 @query("SELECT doc_id, 'sha256:transport:v1:' || sha256(text) AS digest, doc_id % 2 = 0 AS sound FROM documents")
 def digest_texts(spark, sf_dir):
     """Written and read again; every second one has lost its end."""

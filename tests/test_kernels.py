@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.errors import CodecError
-from tessera.kernels import cbor, scan, text
+from tessera.kernels import cbor, envelope, scan, text
 from tessera.kernels.cbor import Limits, Pairs, Policy, Tagged
 
 JSON = st.recursive(
@@ -157,3 +157,29 @@ def test_varint_faults():
     faults = [text.varint_decode(bytes.fromhex(x))[2] for x in ("", "ff" * 9 + "02", "80", "0001")]
     assert faults == [0, 9, 0, 1]
     assert text.varint_decode(bytes.fromhex("8000"))[0] == 0
+
+
+def direct_and_walked(payload: bytes):
+    data = envelope.PLAIN + payload
+    out = []
+    for config in (envelope.Config(), envelope.Config(direct=False)):
+        try:
+            out.append(envelope.decode(data, config))
+        except CodecError as e:
+            out.append(e.code)
+    return tuple(out)
+
+
+def test_plain_documents_are_read_straight_to_json():
+    for value in ({}, [], {"a": [1, -1, 2**63 - 1, -(2**63), 1.5, None, True, False, "é" * 300], "b": {"c": {}}}, list(range(300))):
+        assert direct_and_walked(cbor.encode(cbor.from_json(value))) == (value, value)
+    assert direct_and_walked(b"\x9f\x01\x7f\x61a\x61b\xff\xff") == ([1, "ab"], [1, "ab"])
+    assert direct_and_walked(b"\xf0") == ("ERR_NOT_CBORLD", "ERR_RESERVED_SIMPLE_VALUE")
+    for bad, code in ((b"\xa2\x61n\x01\x61n\x02", "ERR_INVALID_INPUT"), (b"\x41x", "ERR_INVALID_INPUT"), (b"\xa1\x01\x02", "ERR_INVALID_INPUT"), (b"\xf9\x7e\x00", "ERR_INVALID_INPUT"), (b"\x3b" + b"\xff" * 8, "ERR_NOT_CBORLD"), (b"\x62a", "ERR_NOT_CBORLD"), (b"\x9f\x01", "ERR_NOT_CBORLD"), (b"\x01\x01", "ERR_NOT_CBORLD"), (b"\x81" * 200 + b"\x01", "ERR_RESOURCE_LIMIT")):
+        assert direct_and_walked(bad) == (code, code)
+
+
+def test_a_failure_knows_its_item():
+    with pytest.raises(CodecError) as e:
+        cbor.decode(b"\x82\x01\xa1\x61k\x18\x05", policy=cbor.STRICT)
+    assert (e.value.offset, e.value.end, e.value.place.path, e.value.place.json_path, e.value.place.info) == (5, 7, "$[1].value[0]", "$[1].k", 24)

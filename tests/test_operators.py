@@ -284,3 +284,22 @@ def test_streams(spark, tmp_path):
     q = streams.write_guarded(streams.read_documents(spark, str(tmp_path / "in"), "i long, b binary"), "b", str(tmp_path / "o2"), str(tmp_path / "s2"), documents=1)
     with pytest.raises(Exception, match="ERR_BATCH_LIMIT|batch limits"):
         q.awaitTermination()
+
+
+def test_contexts_come_from_documents_or_a_fallback_and_keep_their_pins():
+    doc = {"@context": {"v": "urn:v"}}
+    pin = integrity.context_fingerprint(doc)
+    assert codec.resolve_contexts(["a", "b"], {"a": doc}, {"b": pin}, lambda url: doc) == {"a": doc, "b": doc}
+    for wrong, code in (({"documents": {}}, "ERR_UNKNOWN_CONTEXT"), ({"documents": {"a": doc}, "pins": {"a": "0" * 64}}, "ERR_INTEGRITY_MISMATCH")):
+        with pytest.raises(CodecError) as e:
+            codec.resolve_contexts(["a"], **wrong)
+        assert e.value.code == code
+
+
+def test_whole_documents_take_the_input_of_their_operation(spark):
+    df = spark.createDataFrame([('{"a": 1}', bytearray(b"x"))], "j string, b binary")
+    for data, operation in (("b", "encode"), ("j", "decode"), ("j", "other")):
+        with pytest.raises(CodecError):
+            codec.whole_document(df, data, Config(), operation=operation)
+    small = Config(limits=cbor.Limits(input_bytes=4))
+    assert codec.whole_document(df, "j", small, operation="encode").first()["document"]["failure"]["code"] == "ERR_RESOURCE_LIMIT"

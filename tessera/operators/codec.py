@@ -175,13 +175,13 @@ def node_rows(df: DataFrame, data: str, limits: Limits = Limits(), policy: Polic
 
 def decode_validated(df: DataFrame, data: str, config: Config, name: str = "decoded") -> DataFrame:
     """Nodes and JSON of documents in one walk each, under one policy."""
+    walked = replace(config, policy=replace(config.policy, allow_reserved_simple=False), direct=False)
 
     def run(b: bytes) -> dict:
-        policy = replace(config.policy, allow_reserved_simple=False)
         found = cbor.scan_nodes(b, config.limits, config.policy)
         if breach := next((v for n in found for v in n.violations), None):
             raise CodecError("ERR_POLICY_MISMATCH", f"the document breaks its policy: {breach}")
-        return {"json": cbor.dump_json(envelope.decode(b, replace(config, policy=policy, direct=False))), "nodes": len(found)}
+        return {"json": cbor.dump_json(envelope.decode(b, walked)), "nodes": len(found)}
 
     return with_kernel(df, name, outcome("struct<json: string, nodes: bigint>"), [data], isolated(run))
 

@@ -123,10 +123,13 @@ def varint(n: Column) -> Column:
 
 def varint_value(c: Column) -> Column:
     """The number of a LEB128 column of up to nine bytes; null if it does not end with the data."""
-    digits = F.transform(pairs(c), lambda p: F.conv(p, 16, 10).cast("long"))
     n = F.octet_length(c)
-    fine = (n > 0) & (n <= 9) & F.forall(F.transform(digits, lambda d, i: (d >= 128) == (i < n - 1)), lambda x: x)
-    total = F.aggregate(F.reverse(digits), F.lit(0).cast("long"), lambda a, d: F.shiftleft(a, 7).bitwiseOR(d.bitwiseAND(127)))
+    text = F.decode(c, "ISO-8859-1")  # a character a byte
+    digits = [F.ascii(F.substring(text, i + 1, 1)).cast("long") for i in range(9)]  # 0 beyond the end
+    fine, total = (n > 0) & (n <= 9), digits[0].bitwiseAND(127)
+    for i, d in enumerate(digits):
+        fine = fine & ((d >= 128) == (n > i + 1))
+        total = total.bitwiseOR(F.shiftleft(d.bitwiseAND(127), 7 * i)) if i else total
     return F.when(fine, total)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import CodecError
 from ..functions import expr
-from ..functions.arrow import isolated, outcome, with_kernel
+from ..functions.arrow import isolated, of_few, outcome, with_kernel
 from ..kernels import scan, tables, text
 from ..kernels.cbor import Limits
 from ..kernels.tables import Dictionary
@@ -160,13 +160,17 @@ MULTIBASE = "struct<decoded: binary, first_error_offset: bigint, message: string
 
 def multibase_decode(df: DataFrame, value: str, name: str = "decoded", most: int = 64 << 20) -> DataFrame:
     """Native for sound ``u`` and ``M`` values; the others go on to the kernel, which says where they fail."""
-    c = F.col(value)
-    native = F.when(F.length(c) <= most, expr.multibase_decode(c))
+    c, native = F.col(value), F.col("_native")
     made = F.struct(native.alias("decoded"), F.lit(None).cast("long").alias("first_error_offset"), F.lit(None).cast("string").alias("message"))
-    good = df.where(c.isNull() | native.isNotNull()).withColumn(name, F.when(c.isNotNull(), made))
     run = lambda s: dict(zip(("decoded", "first_error_offset", "message"), text.multibase_decode(s, most), strict=True))
-    bad = with_kernel(df.where(c.isNotNull() & native.isNull()), name, MULTIBASE, [value], run)
-    return good.select(*df.columns, name).unionByName(bad.select(*df.columns, name))
+    done = _native_first(df.withColumn("_native", F.when(F.length(c) <= most, expr.multibase_decode(c))), name, native.isNotNull(), c, made, MULTIBASE, run)
+    return done.drop("_native")
+
+
+def _native_first(df: DataFrame, name: str, fine: Column, c: Column, made: Column, kind: str, kernel) -> DataFrame:
+    """made where fine, the kernel's result of c else, null for a null; the column takes the place of an old one."""
+    odd = of_few(kind, F.when(c.isNotNull() & ~F.coalesce(fine, F.lit(False)), c), kernel)
+    return df.select(*df.columns, F.when(fine, made).otherwise(odd).cast(kind).alias(name))
 
 
 VARINT = "struct<value: decimal(20,0), bytes_consumed: bigint, first_error_offset: bigint, message: string>"
@@ -183,20 +187,18 @@ def varint_decode(df: DataFrame, data: str, name: str = "decoded") -> DataFrame:
     """Native for values that fill their bytes and fit 63 bits; the others go on to the kernel."""
     import decimal
 
-    c = F.col(data)
-    native = expr.varint_value(c)
+    c, native = F.col(data), F.col("_native")
     # A last byte of zero says nothing: such values are not in their shortest form, which is the kernel's to judge.
     short = (F.octet_length(c) == 1) | (F.hex(F.substring(c, -1, 1)) != "00")
-    fine = F.coalesce(native.isNotNull() & short, F.lit(False))
+    fine = native.isNotNull() & short
     made = F.struct(native.cast("decimal(20,0)").alias("value"), F.octet_length(c).cast("long").alias("bytes_consumed"), F.lit(None).cast("long").alias("first_error_offset"), F.lit(None).cast("string").alias("message"))
-    good = df.where(c.isNull() | fine).withColumn(name, F.when(c.isNotNull(), made))
 
     def run(b):
         value, used, at, message = text.varint_decode(b)
         return {"value": None if value is None else decimal.Decimal(value), "bytes_consumed": used, "first_error_offset": at, "message": message}
 
-    bad = with_kernel(df.where(c.isNotNull() & ~fine), name, VARINT, [data], run)
-    return good.select(*df.columns, name).unionByName(bad.select(*df.columns, name))
+    done = _native_first(df.withColumn("_native", expr.varint_value(c)), name, fine, c, made, VARINT, run)
+    return done.drop("_native")
 
 
 def dictionary_frame(spark: SparkSession, dictionary: Dictionary) -> DataFrame:

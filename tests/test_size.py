@@ -102,3 +102,23 @@ def test_varint_values_by_byte(spark):
     rows += [bytes([r.randrange(128, 256) for _ in range(n)] + [r.randrange(128)]) for n in range(10) for _ in range(10)]
     got = spark.createDataFrame([(None if b is None else bytearray(b),) for b in rows], "b binary").select("b", expr.varint_value(F.col("b")).alias("v")).collect()
     assert len(got) == len(rows) and all(x["v"] == (None if x["b"] is None else value(bytes(x["b"]))) for x in got)
+
+
+@pytest.mark.parametrize("policy", [Policy(), STRICT, Policy(True, True), Policy(allow_reserved_simple=True)])
+@pytest.mark.parametrize("limits", [Limits(), Limits(depth=2), Limits(items=2), Limits(reject_duplicate_keys=True), Limits(input_bytes=20)])
+def test_plain_reader_and_walk_agree(policy, limits):
+    def result(f):
+        try:
+            return repr(f())
+        except CodecError as e:
+            return e.code, e.message, e.offset, e.end, e.violation, e.place and (e.place.path, e.place.json_path)
+
+    r = random.Random(3)
+    seeds = [cbor.encode(cbor.from_json(json.loads(s))) for s in ('{"a":[1,-300,1.5,0.1,null,true],"b":{"c":"é","d":70000}}', '[[[[1]]]]', '{"a":1,"b":-5000000000}', '"x"')]
+    seeds += [bytes.fromhex(h) for h in ("1800", "d9cb1d820043ffffff", "f0", "f97e00", "9f01ff", "a2616101616102", "3bffffffffffffffff", "")]
+    for _ in range(300):
+        b = bytearray(r.choice(seeds))
+        for _ in range(r.randrange(3)):
+            b[r.randrange(len(b) + 1) : r.randrange(len(b) + 1)] = bytes([r.randrange(256)])
+        b = bytes(b)
+        assert result(lambda: cbor.decode(b, limits, policy)) == result(lambda: cbor.Reader(b, limits, policy).read().value)

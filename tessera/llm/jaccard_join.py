@@ -10,7 +10,7 @@ touches cost alone.
 
 Equal sets are one node from the start. The nodes under a key that are already in one component need no comparison, so where keys hold
 many (a group of near copies), rounds of leader comparisons come first: in each round LEADERS members of a key, drawn alike for all keys,
-meet the others, and components are joined up. When few pairs of different components are left under all keys, all of them are
+meet the others, each under two of its keys, and components are joined up. When few pairs of different components are left under all keys, all of them are
 compared. Every pair that could link is thus compared or already connected, and pairs inside a group are never all emitted.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and are their own component. Rows without an id
@@ -191,7 +191,12 @@ def links(sets: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFram
         large = salted(named, held.where(F.col("cross") > LEADERS * F.col("k")).select(*on, "k", F.col("k").alias("rows")), on, "rows", sent)
         tops = [F.min(F.struct(F.xxhash64("rep", F.lit(turn), F.lit(i)).alias("h"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("c").alias("ca"))) for i in range(LEADERS)]
         of = large.groupBy(*on).agg(F.array_distinct(F.array(*tops)).alias("tops"), F.first("k").alias("rows")).select(*on, "rows", F.inline("tops"))
-        led = salted(large.drop("k"), of, on, "rows", sent).where((F.col("c") != F.col("ca")) & fits("n", "pos", "na", "ia"))
+        # Members of a group have many keys in common, and the same leaders under them: each asks under two alone, its largest and one drawn.
+        place = [*on, "pos"]
+        drawn = F.max(F.struct(F.xxhash64("rep", *on, F.lit(turn)).alias("h"), *place))
+        two = F.array_distinct(F.array(F.max(F.struct("k", *place)).dropFields("k"), drawn.dropFields("h")))
+        asking = large.groupBy("rep", "n", "c").agg(two.alias("two")).select("rep", "n", "c", F.inline("two"))
+        led = salted(asking, of, on, "rows", sent).where((F.col("c") != F.col("ca")) & fits("n", "pos", "na", "ia"))
         pairs = led.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         found.append(stored(verify(pairs, maps, texts, k, threshold)))
         labels = components(_union(found))

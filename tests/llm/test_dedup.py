@@ -128,3 +128,44 @@ def test_bitmaps_never_drop_a_link():
         both = len(np.intersect1d(a, b))
         if len(b) and 100 * both >= 90 * (len(a) + len(b) - both):
             assert jaccard_join.may_link([jaccard_join.bitmap(a)], [jaccard_join.bitmap(b)], np.array([len(a)]), np.array([len(b)]), 90).all()
+
+
+def test_members_of_a_group_ask_under_two_keys(spark, monkeypatch):
+    """Each near copy met the leaders under every key it had, so a join's rows grew with members times keys times leaders."""
+    import random
+
+    r = random.Random(0)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(600):
+        words = list(base)
+        for _ in range(3):
+            words[r.randrange(300)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    seen, salted = [], jaccard_join.salted
+
+    def spy(many, one, on, *more):
+        if "tops" not in one.columns and {"a", "ca"} <= set(one.columns):
+            seen.append(many.groupBy("rep").count().agg(F.max("count")).first()[0])
+        return salted(many, one, on, *more)
+
+    monkeypatch.setattr(jaccard_join, "salted", spy)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 1000)
+    monkeypatch.setattr(jaccard_join, "PAIRS_EACH", 0)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert seen and max(seen) <= 2
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(3)), strict=False)) for _, t in rows]
+    want = list(range(len(rows)))
+
+    def root(i):
+        while want[i] != i:
+            i = want[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                want[b] = a
+    assert got == {i: root(i) for i in range(len(rows))}

@@ -4,26 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf, udtf
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..kernels import cbor, envelope, scan
 from ..kernels.cbor import Limits, Policy
 from ..kernels.envelope import Config
-from .arrow import isolated, outcome
+from .arrow import isolated, outcome, sliced
 
 
 def batched(kernel: Callable, kind: str) -> Callable:
     """A kernel as a function over batches; failures are data, a null gives null."""
-    run = isolated(kernel)
+    run, arrow = isolated(kernel), to_arrow_type(T._parse_datatype_string(outcome(kind)))
 
-    def over(values: pd.Series) -> pd.DataFrame:
-        made = [run(v) or {"value": None, "failure": None, "observation": None} for v in values]
-        return pd.DataFrame(made, columns=["value", "failure", "observation"])
+    def over(values: pa.Array) -> pa.Array:
+        parts = sliced(iter([pa.RecordBatch.from_arrays([values], names=["v"])]), [0])
+        made = [pa.array([run(v) or {"value": None, "failure": None, "observation": None} for v in p.column(0).to_pylist()], arrow) for p in parts]
+        return pa.concat_arrays([pa.array([], arrow), *made])
 
-    over.__annotations__ = {"values": pd.Series, "return": pd.DataFrame}
-    return pandas_udf(over, outcome(kind))
+    return arrow_udf(over, outcome(kind))
 
 
 def nodes(limits: Limits, policy: Policy) -> type:

@@ -187,14 +187,17 @@ def verification_report(
 
 def report_against(df: DataFrame, manifests: DataFrame, artifact: str, data: str, config: Config = Config(), name: str = "checks") -> DataFrame:
     """Documents held against all that their manifests (a column manifest) state. Without one the manifest check is unavailable; one that
-    can't be right is invalid, and its claims are not used."""
-    held = manifests.select("manifest", manifest_fault(F.col("manifest")).alias("_fault"), F.col("manifest.artifact").alias("_a"))
-    joined = df.join(held, F.col(artifact).cast("string") == F.col("_a"), "left")
-    m = F.when(F.col("_fault").isNull(), F.col("manifest"))
-    joined = joined.withColumn("_m", m).withColumns({"_sha": F.col("_m.transport_sha256"), "_own": F.col("_m.structural_sha256")})
+    can't be right is invalid, and its claims are not used.
+
+    Manifests are as many as documents. Spark takes a kernel's rows for about as small as the file they come from, and would collect them on
+    the driver to broadcast them; so both sides are sorted."""
+    fault = manifest_fault(F.col("manifest"))
+    held = manifests.select(F.when(fault.isNull(), F.col("manifest")).alias("_m"), fault.alias("_fault"), F.col("manifest.artifact").alias("_a"))
+    joined = df.join(held.hint("merge"), F.col(artifact).cast("string") == F.col("_a"), "left")
+    joined = joined.withColumns({"_sha": F.col("_m.transport_sha256"), "_own": F.col("_m.structural_sha256")})
     done = verification_report(joined, data, "_sha", config, "_own", F.col("_m.contexts"), F.col("_m.dictionary"), F.col("_m.envelope"), name)
     status = F.when(F.col("_a").isNull(), "unavailable").when(F.col("_fault").isNotNull(), "invalid").otherwise("verified")
-    return done.withColumn(name, F.concat(F.array(check("manifest", status, message=F.col("_fault"))), F.col(name))).drop("manifest", "_fault", "_a", "_m", "_sha", "_own")
+    return done.withColumn(name, F.concat(F.array(check("manifest", status, message=F.col("_fault"))), F.col(name))).drop("_fault", "_a", "_m", "_sha", "_own")
 
 
 def is_valid(checks: Column) -> Column:

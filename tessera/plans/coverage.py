@@ -253,8 +253,8 @@ def manifest_pins(spark, sf_dir):
     config = codec.with_dictionary(Dictionary(200, typed={"ex:n": {"a": 1}}), ctx)
     p = table(spark, sf_dir, "part").select("p_partkey", F.to_json(F.struct(F.lit("urn:c").alias("@context"), F.col("p_name").alias("v"))).alias("j"))
     e = codec.encode_json(p, "j", config, "e").select("p_partkey", "j", F.col("e.value").alias("c"))
-    e = integrity.fingerprints(e, "j").select("p_partkey", "c", F.col("fingerprint.value").alias("own"))
-    m = integrity.manifest(e, "p_partkey", "c", contexts=ctx, dictionary=(200, config.tables[200]), structural="own").select("p_partkey", "manifest")
+    own = integrity.fingerprints(e, "j").select("p_partkey", "c", F.col("fingerprint.value").alias("own"))
+    m = integrity.manifest(own, "p_partkey", "c", contexts=ctx, dictionary=(200, config.tables[200]), structural="own").select("p_partkey", "manifest")
     k, was = F.col("p_partkey") % 5, F.col("manifest")
     spoilt = (
         F.when(k == 1, was.withField("transport_sha256", F.lit("0"))).when(k == 2, was.withField("envelope.byte_count", F.lit(1).cast("long")))
